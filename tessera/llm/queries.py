@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leaks, neighbours, repetition, split, tokenizer
+from tessera.llm import leaks, neighbours, origin, repetition, split, tokenizer
 from tessera.sources.tables import table
 
 
@@ -19,6 +19,23 @@ def p1_balanced(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_oversized(chunks, objective="total", label_col="breadcrumb")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return origin.not_hand_written(*_origin_tables(spark, folder))
+
+
+def p4_origins(spark: SparkSession, folder: str) -> DataFrame:
+    """Blobs and bytes by language and origin."""
+    found = origin.file_origin(*_origin_tables(spark, folder))
+    return found.groupBy("language", "origin").agg(F.count("*").alias("blobs"), F.sum("bytes").alias("bytes"))
+
+
+def _origin_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        table(spark, folder, "chunks", "blob_hash", "byte_start", "byte_end", "language", "code"),
+        table(spark, folder, "files", "repo", "ref", "path", "blob_hash", "loaded_at"),
+    )
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, folder, "chunk_vectors", "chunk_id", "model", "dim", "vector"))
 
@@ -59,6 +76,8 @@ def p10_divergence(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_balanced": p1_balanced,
+    "p4_found": p4_found,
+    "p4_origins": p4_origins,
     "p5_found": p5_found,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
