@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import leaks, neighbours, origin, repetition, split, tokenizer
+from tessera.llm import leaks, neighbours, origin, repetition, secrets, split, tokenizer
 from tessera.sources.tables import table
 
 
@@ -40,6 +40,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, folder, "chunk_vectors", "chunk_id", "model", "dim", "vector"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks", "chunk_id", "code", "language")
+    return secrets.find_credentials(chunks).select("chunk_id", "line_no").distinct()
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.redact(table(spark, folder, "chunks", "chunk_id", "code", "language"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -79,6 +88,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_origins": p4_origins,
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,
