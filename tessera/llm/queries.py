@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import leaks, neighbours, origin, repetition, secrets, split, tokenizer
+from tessera.llm.syntax import files as syntax
 from tessera.sources.tables import table
 
 
@@ -40,6 +41,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, folder, "chunk_vectors", "chunk_id", "model", "dim", "vector"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.unparsed_files(_whole(spark, folder)).select("blob_hash")
+
+
+def p6_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.unparsed_files(_whole(spark, folder))
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.unparsed_rates(_whole(spark, folder), table(spark, folder, "files", "repo", "ref", "path", "blob_hash", "loaded_at"))
+
+
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks", "blob_hash", "byte_start", "language", "code")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks", "chunk_id", "code", "language")
     return secrets.find_credentials(chunks).select("chunk_id", "line_no").distinct()
@@ -88,6 +105,9 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_origins": p4_origins,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_errors": p6_errors,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
     "p8_ids": p8_ids,
