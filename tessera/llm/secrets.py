@@ -30,7 +30,7 @@ _TRIGGER = re.compile(
     r"|[Tt]oken(?![ _-]?[Bb]ucket)|TOKEN(?!_?BUCKET)|[Aa]pi[ _-]?[Kk]ey|API[ _-]?KEY|[Pp]rivate|PRIVATE"
     r"|(?:[Ss]igning|[Ee]ncryption|[Aa]ccess)[ _-]?[Kk]ey|(?:SIGNING|ENCRYPTION|ACCESS)[ _-]?KEY|[Cc]redential|CREDENTIAL"
     r"|[Aa]uthorization|AUTHORIZATION|[Bb]earer|://[^\s/:@\"']{0,64}:[^\s/@\"']+@|AKIA|ASIA|gh[opsru]_[A-Za-z0-9]{6}|glpat-|[sr]k_live_"
-    r"|xox[abeprs]-|AIza|eyJ|LS0tLS1CRUdJTi|\bcurl\b"
+    r"|xox[abeprs]-|AIza|eyJ|LS0tLS1CRUdJTi|\bcurl\b|IDENTIFIED BY|identified by|\bmysql|\bmariadb|\bsshpass|\bredis-cli"
 )
 #: Fixed formats of issued tokens.
 _ISSUED = re.compile(
@@ -46,6 +46,11 @@ _PAIR = re.compile(
 )
 _OPTION = re.compile(r"--(?P<name>[A-Za-z][\w-]*)(?:=|\s+)[\"']?(?P<value>[^\s\"'`]+)")
 _USER = re.compile(r"(?:\bcurl\b[^\n]*?\s-u|--user)[ =][\"']?[^\s:\"']+:(?P<value>[^\s\"'`]+)")
+_CLIENT = re.compile(
+    r"\bidentified by\s+\\?['\"](?P<sql>[^'\"\\]+)|\b(?:mysql\w*|mariadb\w*|sshpass)\b[^\n\"'`]*?\s-p\s?(?P<p>[^\s\"'`-][^\s\"'`]*)"
+    r"|\bredis-cli\b[^\n\"'`]*?\s-a\s+(?P<a>[^\s\"'`]+)",
+    re.I,
+)
 _HEADER = re.compile(r"\b(?P<kind>Basic|Bearer)\s+(?P<value>[A-Za-z0-9._~+/=-]{8,})")
 _PHRASE = re.compile(r"(?P<name>(?:[A-Za-z_]\w*[ ]){1,4}?[A-Za-z_]\w*):\s+[\"'`]?(?P<value>[^\s\"'`]+)[\"'`]?\s*(?:\*/)?\s*$")
 _COMMENT = re.compile(r"^\s*(?://|#|/?\*|--|;|<!--)")
@@ -148,15 +153,18 @@ def _plain_name(v: str) -> bool:
     return bool(re.fullmatch(r"[A-Za-z_][\w.]*(?:\(.*)?|\d+(?:\.\d+)?", v))
 
 
-def credentials(text: str, words: Dictionary, code: bool = True) -> list[tuple[int, int]]:
-    """(start, end) of every credential of a text, in order; positions count characters."""
-    hits: dict[int, int] = {}
+def credentials(text: str, words: Dictionary, code: bool = True) -> list[list[tuple[int, int]]]:
+    """The (start, end) parts of every credential of a text, in order; positions count characters.
+
+    A value written as several string literals has one part for each of them.
+    """
+    hits: dict[int, list[tuple[int, int]]] = {}
 
-    def take(a: int, b: int) -> None:
-        for s, e in hits.items():
-            if a < e and s < b:
+    def take(a: int, b: int, more: list[tuple[int, int]] = []) -> None:
+        for parts in hits.values():
+            if any(a < e and s < b for s, e in parts):
                 return
-        hits[a] = b
+        hits[a] = [(a, b), *more]
 
     for m in _KEY_BLOCK.finditer(text):
         end = text.find("-----END", m.end())
@@ -174,7 +182,7 @@ def credentials(text: str, words: Dictionary, code: bool = True) -> list[tuple[i
         b = text.find("\n", t.start())
         b = done = len(text) if b < 0 else b
         _line(text, a, b, words, code, take)
-    return sorted(hits.items())
+    return [hits[a] for a in sorted(hits)]
 
 
 def _line(text: str, a: int, b: int, words: Dictionary, code: bool, take) -> None:
@@ -198,6 +206,10 @@ def _line(text: str, a: int, b: int, words: Dictionary, code: bool, take) -> Non
             v = m["value"].rstrip(".,;)")
             if (rx is _USER or stands_for_secret(m["name"])) and is_credential(v, words, least):
                 take(a + m.start("value"), a + m.start("value") + len(v))
+    for m in _CLIENT.finditer(line):
+        at = next(g for g in ("sql", "p", "a") if m[g])
+        if is_credential(m[at], words, 6):
+            take(a + m.start(at), a + m.end(at))
     if _COMMENT.match(line) or not code:
         m = _PHRASE.search(line)
         if m and stands_for_secret(m["name"].replace(" ", "_")) and is_credential(m["value"], words):
@@ -211,11 +223,9 @@ def _line(text: str, a: int, b: int, words: Dictionary, code: bool, take) -> Non
         if m["quote"]:
             end = line.find(m["quote"], at)
             v = line[at : end if end >= 0 else len(line)]
-            whole = v
-            if re.match(r"\s*\+\s*$", line[end + len(m["quote"]) :] if end >= 0 else ""):
-                whole += _joined(text, b)
-            if is_credential(whole, words):
-                take(a + at, a + at + len(v))
+            more = _parts_after(text, b) if end >= 0 and re.match(r"\s*\+\s*$", line[end + len(m["quote"]) :]) else []
+            if is_credential(v + "".join(text[x:y] for x, y in more), words):
+                take(a + at, a + at + len(v), more)
         else:
             v = re.match(r"[^\s,;)}\]\"'`]*", line[at:])[0]
             if "=" in m["op"] and re.search(r"[?&;][\w.-]*$", line[: m.start("name") + 1] + m["name"]):
@@ -224,27 +234,25 @@ def _line(text: str, a: int, b: int, words: Dictionary, code: bool, take) -> Non
                 take(a + at, a + at + len(v))
     m = _OPEN.search(line)
     if m and stands_for_secret(m["name"]):
-        start, whole, first = b + 1, _joined(text, b), None
+        start, parts = b + 1, _parts_after(text, b)
         nxt = text[start : text.find("\n", start) if text.find("\n", start) >= 0 else len(text)]
-        p = _PART.match(nxt)
-        if p:
-            first = (start + p.start(1), start + p.end(1))
-        elif re.search(r"[|>][+-]?\s*$", line) and nxt.strip():
-            whole, first = nxt.strip(), (start + len(nxt) - len(nxt.lstrip()), start + len(nxt.rstrip()))
-        if first and not whole.startswith("-----BEGIN") and is_credential(whole, words):
-            take(*first)
-
-
-def _joined(text: str, at: int) -> str:
-    """The string parts on the lines after ``at``, put together."""
-    out = ""
+        if not parts and re.search(r"[|>][+-]?\s*$", line) and nxt.strip():
+            parts = [(start + len(nxt) - len(nxt.lstrip()), start + len(nxt.rstrip()))]
+        whole = "".join(text[x:y] for x, y in parts)
+        if parts and not whole.startswith("-----BEGIN") and is_credential(whole, words):
+            take(*parts[0], parts[1:])
+
+
+def _parts_after(text: str, at: int) -> list[tuple[int, int]]:
+    """Places of the string literals that alone fill the lines after ``at``."""
+    out = []
     while at < len(text):
         e = text.find("\n", at + 1)
         e = len(text) if e < 0 else e
         p = _PART.match(text[at + 1 : e])
         if not p:
             break
-        out += p[1]
+        out.append((at + 1 + p.start(1), at + 1 + p.end(1)))
         at = e
     return out
 
@@ -295,7 +303,7 @@ def find_credentials(chunks: DataFrame, words: Dictionary | None = None) -> Data
     """
 
     def emit(id_, text, found):
-        for a, b in found:
+        for (a, b), *_ in found:
             yield id_, text.count("\n", 0, a) + 1, len(text[:a].encode()), len(text[:b].encode())
 
     columns = {"chunk_id": pa.string(), "line_no": pa.int32(), "byte_start": pa.int32(), "byte_end": pa.int32()}
@@ -310,8 +318,10 @@ def redact(chunks: DataFrame, words: Dictionary | None = None) -> DataFrame:
     """
 
     def emit(id_, text, found):
-        for a, b in reversed(found):
-            text = text[:a] + re.sub(r"[^\r\n]", "*", text[a:b]) + text[b:]
+        for a, b in sorted((p for parts in found for p in parts), reverse=True):
+            # of a key block only the encoded lines go, so that what holds them together stays
+            hidden = r"[A-Za-z0-9+/=]{16,}" if text.startswith("-----BEGIN", a) else r"[^\s]+"
+            text = text[:a] + re.sub(hidden, lambda m: "*" * len(m[0]), text[a:b]) + text[b:]
         yield id_, text
 
     return _scan(chunks, {"chunk_id": pa.string(), "code": pa.string()}, "chunk_id string, code string", emit, words)
