@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import normal_path
+from tessera.session import cut_lineage
 
 
 def succeeded_runs(runs: DataFrame) -> DataFrame:
@@ -63,9 +64,9 @@ def replay(runs: DataFrame, files: DataFrame) -> DataFrame:
     ``deactivate`` those that only the preceding run saw.  Empty tables give no
     rows; a run that sees nothing deactivates all that its predecessor saw.
     """
-    good = succeeded_runs(runs)
+    good = cut_lineage(succeeded_runs(runs))
     key = ["repo", "branch", "blob_hash"]
-    sets = visible_sets(good, files)
+    sets = cut_lineage(visible_sets(good, files))  # read four times below
     ledger = sets.groupBy(*key).agg(F.min("seq").alias("entered"))
     # one pass: current and preceding set side by side, then the ledger
     last = good.groupBy("repo", "branch").agg(F.max("seq").alias("last_seq"))

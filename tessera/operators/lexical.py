@@ -6,44 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import search_tokens
+from tessera.session import cut_lineage
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, key: str, *texts: str) -> DataFrame:
-    """(key, term, tf, dl) over all text columns of a document together; a document without a term has no row."""
-    whole = F.concat_ws(" ", *texts)
-    terms = docs.select(key, F.explode(search_tokens(whole)).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return tf.join(dl, key)
+def tokenised(docs: DataFrame, key: str, *texts: str) -> DataFrame:
+    """(key, tokens) over all text columns of a document together; split once, whatever is made of it."""
+    return docs.select(key, F.explode(F.array(search_tokens(F.concat_ws(" ", *texts)))).alias("tokens"))
+
+
+def postings(docs: DataFrame, key: str, *texts: str, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl); a document without a term has no row.  ``terms`` (term) keeps only those,
+    before anything is shuffled; dl counts all tokens of the document."""
+    rows = tokenised(docs, key, *texts).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, *texts: str, k: int | None = 100) -> DataFrame:
     """(qid, key, score, rank): the k best documents of every query, higher being better, ties by key.
 
     A term repeated in the query counts again.  A query without a term, or whose
-    terms no document holds, has no row.  Statistics are over all ``docs``.
-    Queries meet the index by an equi-join on their terms, so nothing grows with
-    queries times documents; a term in every document is one hot key, which AQE splits.
+    terms no document holds, has no row.  Statistics are over all ``docs``, whose
+    key must be unique.  Only postings of terms that are asked for are shuffled;
+    queries meet them by an equi-join on the term, so nothing grows with queries
+    times documents; a term in every document is one hot key, which AQE splits.
     """
-    index = postings(docs, key, *texts)
     asked = queries.select("qid", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("q_tf"))
+    index = cut_lineage(postings(docs, key, *texts, terms=asked))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    size = docs.agg(F.count("*").alias("n_docs")).crossJoin(
-        index.select(key, "dl").distinct().agg(F.sum("dl").alias("n_terms"))
-    )  # one row
-    stats = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(size))
+    size = tokenised(docs, key, *texts).agg(F.count("*").alias("n_docs"), F.sum(F.size("tokens")).alias("n_terms"))  # one row
+    stats = df.crossJoin(F.broadcast(size))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(stats, "term").select(
         "qid", "term", "q_tf", F.when(idf > 0, idf).otherwise(F.lit(FLOOR)).alias("idf"), (F.col("n_terms") / F.col("n_docs")).alias("avgdl")
     )
     part = F.col("q_tf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = (
-        weighted.join(index, "term")
-        .groupBy("qid", key)
-        .agg(F.round(F.sum(part), 6).alias("score"))
-    )
+    scored = weighted.join(index, "term").groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, key, "score", k)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import normal_path
+from tessera.session import cut_lineage
 
 ORDINAL_BUCKETS = 256
 _WORD = 64
@@ -143,13 +144,13 @@ def snapshot_changes(files: DataFrame, commits: DataFrame) -> DataFrame:
     Empty tables give no rows; a branch without snapshots gives none.  A ref on
     two branches is compared on each; equal rows come out once.
     """
-    records = snapshot_records(files)
-    history = snapshot_history(files, commits)
-    ordinals = assign_ordinals(records, "repo", "path")
+    records = cut_lineage(snapshot_records(files))
+    history = cut_lineage(snapshot_history(files, commits))
+    ordinals = cut_lineage(assign_ordinals(records, "repo", "path"))  # the table that a next delivery would go on from
     # the repository of a record is that of its rows; history is joined by ref
     located = records.join(ordinals, ["repo", "path"]).select("ref", "repo", "ordinal", "blob_hash")
     blocks = ordinal_blocks(located, ["ref", "repo"]).withColumnRenamed("repo", "key_repo")
-    placed = history.join(blocks, "ref").select("repo", "branch", "seq", "key_repo", "block", "bits", "vals")
+    placed = cut_lineage(history.join(blocks, "ref").select("repo", "branch", "seq", "key_repo", "block", "bits", "vals"))
     later = history.where("seq > 1").select("repo", "branch", "seq", "ref")
     on = ["repo", "branch", "seq", "key_repo"]
     new = placed.where("seq > 1")
