@@ -79,7 +79,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
                     out[0].extend([q] * len(best))
                     out[1].extend(names[best])
                     out[2].extend(sims[i][best].tolist())
-                yield pa.RecordBatch.from_pydict({"qid": out[0], "key": out[1], "score": out[2]})
+                kinds = [batch.schema.field("qs").type.value_type.field("qid").type, batch.schema.field("key").type, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["qid", "key", "score"])
 
     found = (
         left.unionByName(right)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_calls(usage: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
     """(start, tool, calls, tokens): calls of a stream (ts, tool, tokens) by window; later than ``late`` are dropped."""
-    at = F.window(F.col("ts").cast("timestamp"), window, slide) if slide else F.window(F.col("ts").cast("timestamp"), window)
+    at = F.window("ts", window, slide) if slide else F.window("ts", window)
     timed = usage.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(at.alias("w"), "tool").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens")).select(
         F.col("w.start").alias("start"), "tool", "calls", "tokens"
