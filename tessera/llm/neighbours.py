@@ -3,16 +3,18 @@
 Unit vectors are cut into two halves, each half is quantised to one of K
 centroids, and a cell is a pair of centroids.  A query walks the cells by summed
 distance with a heap until it has seen enough entries, and every entry of the
-rows (first centroids) it touched is reranked by the exact cosine.
+blocks it touched is reranked by the exact cosine.
 
-Entries of one row are cut into blocks of bounded size, so a crowded row is
-spread over tasks; a block's entries are held as one matrix while the queries
-stream past it in Arrow batches.  Nothing else is kept, whatever the input.
+A block is a run of neighbouring cells of one row (first centroid) with a bounded
+number of entries; a crowded cell has several.  A block's entries are held as one
+matrix while the queries stream past it in Arrow batches.  Nothing else is kept,
+whatever the input, and a query meets as many blocks as it walked cells at most.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +41,16 @@ class Quantiser:
     first: np.ndarray
     second: np.ndarray
     cells: np.ndarray | None = None
+    starts: np.ndarray | None = None
+
+    def count(self, cells: np.ndarray) -> None:
+        """Takes the cell sizes; ``starts`` is the first block of each cell within its row."""
+        self.cells, self.starts = cells, (np.cumsum(cells, 1) - cells) // BLOCK_ENTRIES
+
+    def blocks(self, c1: int, c2: int) -> range:
+        """The blocks of a row that hold the entries of a cell."""
+        first = int(self.starts[c1, c2])
+        return range(first, first + max(1, -(-int(self.cells[c1, c2]) // BLOCK_ENTRIES)))
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.distances(x)
@@ -158,29 +170,25 @@ def nearest(vectors: DataFrame, k: int = K_NEAREST, least: float = LEAST_COSINE,
     entries = cut_lineage(
         usable.mapInArrow(place, "model string, chunk_id string, vector array<float>, c1 int, c2 int")
     )
-    for m, q in quantisers.items():
-        q.cells = np.zeros((len(q.first), len(q.second)), np.int64)
+    sizes_of = {m: np.zeros((len(q.first), len(q.second)), np.int64) for m, q in quantisers.items()}
     for r in entries.groupBy("model", "c1", "c2").agg(F.count("*").alias("n")).toLocalIterator():
-        quantisers[r["model"]].cells[r["c1"], r["c2"]] = r["n"]
+        sizes_of[r["model"]][r["c1"], r["c2"]] = r["n"]
+    for m, q in quantisers.items():
+        q.count(sizes_of[m])
     index = spark.sparkContext.broadcast(quantisers)
 
-    def blocks_of(q: Quantiser) -> np.ndarray:
-        return np.maximum(1, -(-q.cells.sum(1) // BLOCK_ENTRIES))
-
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             models = np.array(batch.column("model").to_pylist(), dtype=object)
             take, rows, parts = [], [], []
             for m in set(models):
-                q = index.value[m]
-                blocks, at = blocks_of(q), np.flatnonzero(models == m)
+                q, at = index.value[m], np.flatnonzero(models == m)
                 d1, d2 = q.distances(_matrix(batch.column("vector").take(pa.array(at))))
                 for n, i in enumerate(at):
-                    for row in {c for c, _ in walk(d1[n], d2[n], q.cells, enough)}:
-                        for part in range(int(blocks[row])):
-                            take.append(i)
-                            rows.append(row)
-                            parts.append(part)
+                    for row, part in {(a, part) for a, b in walk(d1[n], d2[n], q.cells, enough) for part in q.blocks(a, b)}:
+                        take.append(i)
+                        rows.append(row)
+                        parts.append(part)
             take = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("model").take(take), pa.array(rows, pa.int32()), pa.array(parts, pa.int32()), pa.array([1] * len(rows), pa.int32())]
@@ -190,18 +198,19 @@ def nearest(vectors: DataFrame, k: int = K_NEAREST, least: float = LEAST_COSINE,
 
     schema = "model string, row int, part int, kind int, chunk_id string, vector array<float>"
     queries = usable.mapInArrow(route, schema)
-    n_blocks = spark.createDataFrame(
-        [(m, c, int(b)) for m, q in quantisers.items() for c, b in enumerate(blocks_of(q))] or [("", 0, 1)],
-        "model string, c1 int, blocks int",
-    )  # one row per first centroid: at most MOST_CENTROIDS a model
-    stored = entries.join(F.broadcast(n_blocks), ["model", "c1"]).select(
-        "model",
-        F.col("c1").alias("row"),
-        F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("part"),
-        F.lit(0).alias("kind"),
-        "chunk_id",
-        "vector",
-    )
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models, ids, c1, c2 = (batch.column(n).to_pylist() for n in ("model", "chunk_id", "c1", "c2"))
+            spans = [index.value[m].blocks(a, b) for m, a, b in zip(models, c1, c2)]
+            parts = [r[zlib.crc32(i.encode()) % len(r)] for r, i in zip(spans, ids)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("model"), batch.column("c1"), pa.array(parts, pa.int32()), pa.array([0] * len(ids), pa.int32())]
+                + [batch.column(n) for n in ("chunk_id", "vector")],
+                names=["model", "row", "part", "kind", "chunk_id", "vector"],
+            )
+
+    stored = entries.mapInArrow(store, schema)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, mat = None, [], []
