@@ -9,6 +9,8 @@ from tessera.functions.text import search_tokens
 from tessera.session import cut_lineage
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Tasks that the postings of one term are spread over; a word of every document would else be one.
+TERM_SALTS = 16
 
 
 def tokenised(docs: DataFrame, key: str, *texts: str) -> DataFrame:
@@ -31,8 +33,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, *texts: str, k: int | No
     A term repeated in the query counts again.  A query without a term, or whose
     terms no document holds, has no row.  Statistics are over all ``docs``, whose
     key must be unique.  Only postings of terms that are asked for are shuffled;
-    queries meet them by an equi-join on the term, so nothing grows with queries
-    times documents; a term in every document is one hot key, which AQE splits.
+    queries meet them by an equi-join on the term and a salt of the document, so
+    that a term in every document is spread over tasks.
     """
     asked = queries.select("qid", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("q_tf"))
     index = cut_lineage(postings(docs, key, *texts, terms=asked))
@@ -44,7 +46,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, *texts: str, k: int | No
         "qid", "term", "q_tf", F.when(idf > 0, idf).otherwise(F.lit(FLOOR)).alias("idf"), (F.col("n_terms") / F.col("n_docs")).alias("avgdl")
     )
     part = F.col("q_tf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighted.join(index, "term").groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
+    salted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+    spread = index.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(TERM_SALTS)).cast("int"))
+    scored = salted.join(spread, ["term", "_salt"]).groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, key, "score", k)
 
 

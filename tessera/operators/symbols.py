@@ -44,20 +44,19 @@ def symbol_search(symbols: DataFrame, names: DataFrame, limit: int = 20) -> Data
     """(qid, symbol, chunk_id, path, rank): symbols that contain the name, letter case aside.
 
     Exact ones first, then those that begin with it, then by length, name, path
-    and chunk.  The names asked for are broadcast while they are few (checked);
-    beyond that they meet the symbols by their trigrams.
+    and chunk.  Names of three letters or more meet the symbols by an equi-join of
+    their first trigram with all trigrams; there are so few shorter ones that
+    symbols are joined with all their runs of one and two letters instead.
     """
     low = symbols.withColumn("_low", F.lower("symbol"))
     asked = names.where(F.length("name") > 0).select("qid", F.lower("name").alias("_name"))
-    if asked.count() <= 10_000:
-        met = low.join(F.broadcast(asked), F.col("_low").contains(F.col("_name")))
-    else:
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.col(c), i, F.lit(3))))
-        short = asked.where(F.length("_name") < 3)
-        long_ = asked.where(F.length("_name") >= 3).withColumn("_g", F.substring("_name", 1, 3))
-        met = (
-            low.withColumn("_g", F.explode(grams("_low"))).join(long_, "_g").drop("_g").where(F.col("_low").contains(F.col("_name")))
-        ).unionByName(low.join(F.broadcast(short), F.col("_low").contains(F.col("_name"))))
+    asked = asked.withColumn("_g", F.substring("_name", 1, 3))
+
+    def grams(n: int):
+        return F.transform(F.sequence(F.lit(1), F.length("_low") - (n - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(n)))
+
+    runs = F.array_distinct(F.flatten(F.array(*[F.when(F.length("_low") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])))
+    met = low.withColumn("_g", F.explode(runs)).join(asked, "_g").drop("_g").where(F.contains("_low", "_name"))
     tier = F.when(F.col("_low") == F.col("_name"), 0).when(F.col("_low").startswith(F.col("_name")), 1).otherwise(2)
     order = Window.partitionBy("qid").orderBy(tier, F.length("symbol"), "symbol", "path", "chunk_id", "kind")
     return (

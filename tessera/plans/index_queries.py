@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import chunking, evalkit, fusion, graph, ingest, lexical, packing, symbols, usage, vectors
+from tessera.operators import chunking, evalkit, fusion, graph, ingest, lexical, packing, rerank, symbols, usage, vectors
 from tessera.operators.snapshots import snapshot_records
 from tessera.sources.tables import table
 
@@ -529,18 +529,22 @@ def usage_percentiles(spark, folder):
 
 @query(
     f"""WITH {_bm25_sql(_HEAD)}, r AS (SELECT * FROM ranked WHERE rank <= 10),
-gold AS (SELECT DISTINCT e.item_id AS qid, item_type AS type, doc_id FROM eval_items e JOIN documents d
-  ON contains(d.text, substr(e.text, 1, 40))),
+heads AS (SELECT item_id AS qid, item_type AS type, array_to_string({_tok("text")}[1:5], ' ') AS head FROM eval_items),
+runs AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS head FROM (SELECT doc_id, {_tok("text")} AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+gold AS (SELECT DISTINCT qid, type, doc_id FROM heads JOIN runs USING (head)),
 h AS (SELECT g.qid, g.type, min(rank) AS rank FROM gold g LEFT JOIN r ON r.qid = g.qid AND r.doc_id = g.doc_id GROUP BY 1, 2)
 SELECT type, count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr,
   round(avg(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0.0 END), 6) AS mrr_at_k FROM h GROUP BY 1"""
 )
 def eval_recall(spark, folder):
-    """Gold are the documents that hold an item's first 40 characters; items are a fixed 300, so they are broadcast."""
+    """Gold are the documents that hold an item's first five words in a row, met by an equi-join on them."""
     docs = table(spark, folder, "documents", "doc_id", "text")
     items = table(spark, folder, "eval_items", "item_id", "item_type", "text")
-    heads = items.select(F.col("item_id").alias("qid"), F.col("item_type").alias("type"), F.substring("text", 1, 40).alias("head"))
-    gold = docs.join(F.broadcast(heads), F.contains("text", "head")).select("qid", "type", "doc_id").distinct()
+    first = F.array_join(F.slice(text.search_tokens(F.col("text")), 1, 5), " ")
+    heads = items.select(F.col("item_id").alias("qid"), F.col("item_type").alias("type"), first.alias("head"))
+    words = lexical.tokenised(docs, "doc_id", "text").where(F.size("tokens") >= 5)
+    fives = F.transform(F.sequence(F.lit(1), F.size("tokens") - 4), lambda i: F.array_join(F.slice("tokens", i, 5), " "))
+    gold = words.select("doc_id", F.explode(fives).alias("head")).join(heads, "head").select("qid", "type", "doc_id").distinct()
     return evalkit.quality(lexical.bm25(docs, _asked(spark, folder), "doc_id", "text", k=10), gold, "doc_id")
 
 
@@ -568,3 +572,46 @@ def history_symbol_changes(spark, folder):
     """Definitions below src/ against all others, as two versions of one code base."""
     found = _symbols(spark, folder).withColumn("text", F.col("chunk_id")).withColumn("byte_start", F.struct("byte_start", "chunk_id"))
     return graph.symbol_changes(found.where("path not like 'src/%'"), found.where("path like 'src/%'"))
+
+
+# ---- second stage and recency
+
+
+@query()
+def search_reranked(spark, folder):
+    """BM25 pool of every item, reranked by how many of the query's words a passage holds (a stand-in for a model)."""
+    chunks = _chunks(spark, folder, "code", "breadcrumb")
+    asked = _asked(spark, folder)
+    hits = lexical.bm25(chunks, asked, "chunk_id", "breadcrumb", "code", k=20)
+    rows = rerank.passages(hits.select("qid", "chunk_id", F.col("rank").alias("place")), asked, chunks)
+    return rerank.blend(rerank.rerank(rows, lambda pairs: [len({*q.split()} & {*p.split()}) - 2.0 for q, p in pairs]), hits, 10_000)
+
+
+@query(
+    f"""WITH {_records_sql()}, c AS (SELECT DISTINCT sha, ordinal, committed_at FROM commit_log)
+SELECT path, max(committed_at) AS at_date FROM records JOIN c ON c.sha = ref GROUP BY 1"""
+)
+def history_last_changes(spark, folder):
+    """When each path was last in a snapshot; commit times order the log over all branches."""
+    records = snapshot_records(table(spark, folder, "files", "repo", "ref", "path", "blob_hash", "loaded_at"))
+    commits = table(spark, folder, "commit_log", "sha", "committed_at").distinct()
+    log = records.join(commits, records.ref == commits.sha).select("path", F.col("committed_at").alias("ordinal"), F.col("committed_at").alias("at_date"))
+    return rerank.last_changes(log)
+
+
+@query(
+    f"""WITH {_EDGES}, n AS (SELECT dst AS node, count(*) AS n FROM edges GROUP BY 1),
+ch AS (SELECT DISTINCT chunk_id, file_path AS path, byte_start FROM chunks),
+pr AS (SELECT DISTINCT e.dst AS qid, e.src AS node, s.path, s.byte_start, t.path AS target_path FROM edges e JOIN ch s ON s.chunk_id = e.src JOIN ch t ON t.chunk_id = e.dst),
+sc AS (SELECT qid, pr.node, path, byte_start, round(CASE WHEN path = target_path THEN 2 WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = regexp_extract(target_path, '^(.*)/[^/]*$', 1) THEN 1 ELSE 0 END * 1000
+  + least(coalesce(n, 0), 99) * 10 + 0.2::DOUBLE, 6) AS score FROM pr LEFT JOIN n ON n.node = pr.node)
+SELECT qid, node, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path, byte_start, node) AS rank FROM sc) WHERE rank <= 20"""
+)
+def graph_ranked_callers(spark, folder):
+    """Callers of every chunk by proximity, use and recency; all paths count as changed 7,300 days after 2000."""
+    chunks, edges = _chunks(spark, folder), _edges(spark, folder)
+    at = chunks.select(F.col("chunk_id").alias("node"), F.col("file_path").alias("path"), "byte_start").distinct()
+    target = chunks.select(F.col("chunk_id").alias("qid"), F.col("file_path").alias("target_path")).distinct()
+    pairs = edges.select(F.col("dst").alias("qid"), F.col("src").alias("node")).join(at, "node").join(target, "qid").withColumn("at", F.lit(0))
+    changed = chunks.select(F.col("file_path").alias("path"), F.lit("2019-12-27").cast("timestamp").alias("at_date")).distinct()
+    return rerank.rank_related(pairs, graph.inbound_counts(edges).withColumnRenamed("dst", "node"), changed)

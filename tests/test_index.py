@@ -310,3 +310,56 @@ def test_incremental_sync_equals_rebuild(spark, tmp_path):
         ever.update(dict.fromkeys(tree.values()))
     got = {x.blob_hash: x.active for x in index.state().collect()}
     assert got == {h: h in tree.values() for h in ever}
+
+
+def plain_focus(terms, label, code, most):
+    """Every window tried from every line."""
+    from tessera.operators.rerank import _terms
+
+    room = max(0, most - len(label) - 1)
+    if len(code) <= room or not room:
+        return f"{label}\n{code[:room]}"
+    lines, best = code.splitlines(keepends=True), None
+    for a in range(len(lines)):
+        b = a
+        while b < len(lines) and sum(map(len, lines[a : b + 1])) <= room:
+            b += 1
+        got = set().union(*(_terms(x) & terms for x in lines[a : max(b, a + 1)]))
+        if best is None or len(got) > best[0]:
+            best = len(got), "".join(lines[a:b]) or lines[a][:room]
+    return f"{label}\n{best[1]}"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["alpha beta\n", "getUserName()\n", "\n", "x = 1\r\n", "gamma_delta " * 4 + "\n", "user"]), max_size=14), st.integers(0, 60))
+def test_focus_equals_trying_all_windows(lines, most):
+    from tessera.operators import rerank
+
+    terms = {"alpha", "user", "gamma", "delta"}
+    assert rerank.focus(terms, "lb", "".join(lines), most) == plain_focus(terms, "lb", "".join(lines), most)
+
+
+def test_rerank_blend_and_trim(spark):
+    from tessera.operators import rerank
+
+    pool = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "qid int, chunk_id string, place int")
+    q = spark.createDataFrame([(1, "find user")], "qid int, query string")
+    ch = spark.createDataFrame([("a", "x", "none"), ("b", None, "user here"), ("c", "y", None)], "chunk_id string, breadcrumb string, code string")
+    done = rerank.rerank(rerank.passages(pool, q, ch), lambda ps: [2.0 if "user" in p else -800.0 for _, p in ps])
+    got = {r.chunk_id: (r.rank, r.score) for r in done.collect()}
+    assert [got[c][0] for c in "bac"] == [1, 2, 3] and got["a"][1] == 0.0 and abs(got["b"][1] - 1 / (1 + math.exp(-2))) < 1e-8
+    vec = spark.createDataFrame([(1, "c", 1), (1, "z", 2), (1, "a", 3)], "qid int, chunk_id string, rank int")
+    small = {r.chunk_id: r.score for r in rerank.blend(done, vec, 512).collect()}
+    assert small == {"a": round(1 / 62 + 4 / 63, 9), "b": round(1 / 61, 9), "c": round(1 / 63 + 4 / 61, 9)}
+    rows_ = spark.createDataFrame([(1, 1, 40), (1, 2, 40), (1, 3, 40)], "qid int, place int, row_chars int")
+    assert rows(rerank.trim_replies(rows_, 20)) == [(1, 1, 40, 1), (2, 1, 40, 1)]
+    with pytest.raises(Exception, match="another number"):
+        rerank.rerank(rerank.passages(pool, q, ch), lambda ps: [0.0] * (len(ps) + 1)).collect()
+
+
+def test_related_order(spark):
+    from tessera.operators import rerank
+
+    pairs = spark.createDataFrame([(1, "n1", "p/a.py", 0, "p/t.py", 0), (1, "n2", "p/t.py", 5, "p/t.py", 1), (1, "n3", "q/b.py", 0, "p/t.py", 2), (1, "n3", "q/b.py", 0, "q/b.py", 3)], "qid int, node string, path string, byte_start int, target_path string, at int")
+    got = rerank.rank_related(pairs, spark.createDataFrame([("n3", 500)], "node string, n long"), spark.createDataFrame([("q/b.py", "2009-12-29 00:00:00")], "path string, d string").selectExpr("path", "cast(d as timestamp) at_date"))
+    assert [(r.node, r.score) for r in got.orderBy("rank").collect()] == [("n2", 2000.0), ("n1", 1000.0), ("n3", 990.1)]
