@@ -1,19 +1,24 @@
 """Most similar vectors for every vector, by an inverted multi-index.
 
 Unit vectors are cut into two halves, each half is quantised to one of K
-centroids, and a cell is a pair of centroids.  A query walks the cells by summed
-distance with a heap until it has seen enough entries, and every entry of the
-blocks it touched is reranked by the exact cosine.
+centroids, and a cell is a pair of centroids.  A query first walks the cells by
+summed distance with a heap until it has seen some entries, and every entry of the
+blocks it touched is reranked by the exact cosine.  The k-th similarity found so
+bounds the second step: every cell that, by its radius in both halves, can hold an
+entry as similar as that is reranked.  The first step only makes the bound tight;
+the result is that of the second, and exact whatever the size and skew.
 
 A block is a run of neighbouring cells of one row (first centroid) with a bounded
-number of entries; a crowded cell has several.  A block's entries are held as one
+number of entries; a crowded cell has several.  The second step, which meets many
+cells, packs rows that lie close into blocks of that size.  A block's entries are held as one
 matrix while the queries stream past it in Arrow batches.  Nothing else is kept,
-whatever the input, and a query meets as many blocks as it walked cells at most.
+whatever the input.  A query meets a block once.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,31 +35,74 @@ K_NEAREST, LEAST_COSINE = 10, 0.75
 FIT_SAMPLE = 20_000
 #: Bound on the centroids of a half: the table of cell sizes has at most its square, a million entries.
 MOST_CENTROIDS = 1024
-#: Entries a query's walk has to pass before it ends, and entries of a block.
+#: Entries a query's first walk has to pass before it ends, and entries of a block.
 WALK_ENTRIES, BLOCK_ENTRIES = 400, 4096
+#: Similarities are rounded to 6 decimals and distances carry rounding errors; bounds are looser by this.
+SLACK = 2e-6
 
 
 @dataclass
 class Quantiser:
-    """Centroids of both halves, and the number of entries of each cell."""
+    """Centroids of both halves, and the number of entries of each cell and its radii."""
 
     first: np.ndarray
     second: np.ndarray
     cells: np.ndarray | None = None
     starts: np.ndarray | None = None
+    held: tuple[np.ndarray, ...] | None = None
+    packed: np.ndarray | None = None
+    n_packed: int = 0
 
-    def count(self, cells: np.ndarray) -> None:
-        """Takes the cell sizes; ``starts`` is the first block of each cell within its row."""
+    def count(self, cells: np.ndarray, radii: np.ndarray) -> None:
+        """Takes the cell sizes and radii in both halves; ``starts`` is the first block of each cell within its row."""
         self.cells, self.starts = cells, (np.cumsum(cells, 1) - cells) // BLOCK_ENTRIES
+        i, j = np.nonzero(cells)
+        parts = np.maximum(1, -(-cells // BLOCK_ENTRIES))
+        self.packed, self.n_packed = self._pack(cells.sum(1), np.where(cells > 0, self.starts + parts, 1).max(1))
+        self.held = i, j, radii[0, i, j], radii[1, i, j], radii[0].max(1), self.packed[i] + self.starts[i, j], parts[i, j]
+
+    def _pack(self, entries: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, int]:
+        """The first packed block of each row, and their number; a row goes to the nearest one not yet placed."""
+        packed, at, n, room = np.zeros(len(entries), np.int64), 0, 0, 0
+        left = np.ones(len(entries), bool)
+        for _ in range(len(entries)):
+            left[at] = False
+            if parts[at] > 1 or entries[at] > room:
+                packed[at], n, room = n, n + int(parts[at]), BLOCK_ENTRIES if parts[at] == 1 else 0
+            else:
+                packed[at] = n - 1
+            room -= int(entries[at])
+            if left.any():
+                at = int(np.where(left, _squared(self.first[at : at + 1], self.first)[0], np.inf).argmin())
+        return packed, n
 
     def blocks(self, c1: int, c2: int) -> range:
         """The blocks of a row that hold the entries of a cell."""
         first = int(self.starts[c1, c2])
         return range(first, first + max(1, -(-int(self.cells[c1, c2]) // BLOCK_ENTRIES)))
 
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, d1: np.ndarray, d2: np.ndarray, limit: float) -> list[int]:
+        """The packed blocks with a cell that may hold an entry at most ``limit`` (squared) from a query at these squared distances.
+
+        By the triangle inequality an entry is in each half at least as far as
+        its centroid is, less the radius of its cell.
+        """
+        i, j, r1, r2, widest, first, parts = self.held
+        s1, s2 = np.sqrt(np.maximum(d1, 0)), np.sqrt(np.maximum(d2, 0))
+        at = np.flatnonzero((s1 - widest <= math.sqrt(limit))[i])
+        near = np.maximum(s1[i[at]] - r1[at], 0) ** 2 + np.maximum(s2[j[at]] - r2[at], 0) ** 2 <= limit
+        at, met = at[near], np.zeros(self.n_packed, bool)
+        met[first[at]] = True
+        for c in at[parts[at] > 1]:
+            met[first[c] : first[c] + parts[c]] = True
+        return np.flatnonzero(met).tolist()
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The centroids of each vector, and its distances from them."""
         a, b = self.distances(x)
-        return a.argmin(1), b.argmin(1)
+        c1, c2 = a.argmin(1), b.argmin(1)
+        at = np.arange(len(x))
+        return c1, c2, np.sqrt(np.maximum(a[at, c1], 0)), np.sqrt(np.maximum(b[at, c2], 0))
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = self.first.shape[1]
@@ -142,7 +190,8 @@ def nearest(vectors: DataFrame, k: int = K_NEAREST, least: float = LEAST_COSINE,
     """(model, chunk_id, neighbour, similarity): up to k neighbours of every usable vector.
 
     Similarity is the cosine rounded to 6 decimals, at least ``least``; ties go
-    to the smaller id.  Null, short, non-finite and all-zero vectors are not
+    to the smaller id.  The result is exact; ``enough`` only says how many entries
+    are seen before the bound is taken.  Null, short, non-finite and all-zero vectors are not
     usable; of several vectors of one chunk and model the least is taken.
     Vectors of one model with different dims are indexed apart.  Empty tables
     give no row.
@@ -159,58 +208,76 @@ def nearest(vectors: DataFrame, k: int = K_NEAREST, least: float = LEAST_COSINE,
         for batch in batches:
             models = np.array(batch.column("model").to_pylist(), dtype=object)
             c1, c2 = np.zeros(len(models), np.int32), np.zeros(len(models), np.int32)
+            e1, e2 = np.zeros(len(models)), np.zeros(len(models))
             for m in set(models):
                 at = np.flatnonzero(models == m)
-                c1[at], c2[at] = fitted.value[m].assign(_matrix(batch.column("vector").take(pa.array(at))))
+                c1[at], c2[at], e1[at], e2[at] = fitted.value[m].assign(_matrix(batch.column("vector").take(pa.array(at))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in ("model", "chunk_id", "vector")] + [pa.array(c1), pa.array(c2)],
-                names=["model", "chunk_id", "vector", "c1", "c2"],
+                [batch.column(n) for n in ("model", "chunk_id", "vector")] + [pa.array(c) for c in (c1, c2, e1, e2)],
+                names=["model", "chunk_id", "vector", "c1", "c2", "e1", "e2"],
             )
 
     entries = cut_lineage(
-        usable.mapInArrow(place, "model string, chunk_id string, vector array<float>, c1 int, c2 int")
+        usable.mapInArrow(place, "model string, chunk_id string, vector array<float>, c1 int, c2 int, e1 double, e2 double")
     )
     sizes_of = {m: np.zeros((len(q.first), len(q.second)), np.int64) for m, q in quantisers.items()}
-    for r in entries.groupBy("model", "c1", "c2").agg(F.count("*").alias("n")).toLocalIterator():
+    radii_of = {m: np.zeros((2, *n.shape)) for m, n in sizes_of.items()}
+    cells = entries.groupBy("model", "c1", "c2").agg(F.count("*").alias("n"), F.max("e1").alias("r1"), F.max("e2").alias("r2"))
+    for r in cells.toLocalIterator():
         sizes_of[r["model"]][r["c1"], r["c2"]] = r["n"]
+        radii_of[r["model"]][:, r["c1"], r["c2"]] = r["r1"], r["r2"]
     for m, q in quantisers.items():
-        q.count(sizes_of[m])
+        q.count(sizes_of[m], radii_of[m])
     index = spark.sparkContext.broadcast(quantisers)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            models = np.array(batch.column("model").to_pylist(), dtype=object)
-            take, rows, parts = [], [], []
-            for m in set(models):
-                q, at = index.value[m], np.flatnonzero(models == m)
-                d1, d2 = q.distances(_matrix(batch.column("vector").take(pa.array(at))))
-                for n, i in enumerate(at):
-                    for row, part in {(a, part) for a, b in walk(d1[n], d2[n], q.cells, enough) for part in q.blocks(a, b)}:
-                        take.append(i)
-                        rows.append(row)
-                        parts.append(part)
-            take = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("model").take(take), pa.array(rows, pa.int32()), pa.array(parts, pa.int32()), pa.array([1] * len(rows), pa.int32())]
-                + [batch.column(n).take(take) for n in ("chunk_id", "vector")],
-                names=["model", "row", "part", "kind", "chunk_id", "vector"],
-            )
-
-    schema = "model string, row int, part int, kind int, chunk_id string, vector array<float>"
-    queries = usable.mapInArrow(route, schema)
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            models, ids, c1, c2 = (batch.column(n).to_pylist() for n in ("model", "chunk_id", "c1", "c2"))
-            spans = [index.value[m].blocks(a, b) for m, a, b in zip(models, c1, c2)]
-            parts = [r[zlib.crc32(i.encode()) % len(r)] for r, i in zip(spans, ids)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("model"), batch.column("c1"), pa.array(parts, pa.int32()), pa.array([0] * len(ids), pa.int32())]
-                + [batch.column(n) for n in ("chunk_id", "vector")],
-                names=["model", "row", "part", "kind", "chunk_id", "vector"],
-            )
-
-    stored = entries.mapInArrow(store, schema)
+    def route(blocks):
+        """Rows of (block, query) for the ``blocks`` (row, part) of each query."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                models = np.array(batch.column("model").to_pylist(), dtype=object)
+                floors = batch.column("floor").to_pylist()
+                take, rows, parts = [], [], []
+                for m in set(models):
+                    q, at = index.value[m], np.flatnonzero(models == m)
+                    d1, d2 = q.distances(_matrix(batch.column("vector").take(pa.array(at))))
+                    for n, i in enumerate(at):
+                        for row, part in blocks(q, d1[n], d2[n], floors[i]):
+                            take.append(i)
+                            rows.append(row)
+                            parts.append(part)
+                take = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("model").take(take), pa.array(rows, pa.int32()), pa.array(parts, pa.int32()), pa.array([1] * len(rows), pa.int32())]
+                    + [batch.column(n).take(take) for n in ("chunk_id", "vector", "floor")],
+                    names=["model", "row", "part", "kind", "chunk_id", "vector", "floor"],
+                )
+
+        return run
+
+    def walked(q: Quantiser, d1: np.ndarray, d2: np.ndarray, floor: float) -> set[tuple[int, int]]:
+        return {(a, part) for a, b in walk(d1, d2, q.cells, enough) for part in q.blocks(a, b)}
+
+    def bounded(q: Quantiser, d1: np.ndarray, d2: np.ndarray, floor: float) -> list[tuple[int, int]]:
+        return [(b, 0) for b in q.within(d1, d2, 2 - 2 * (floor - SLACK))]
+
+    schema = "model string, row int, part int, kind int, chunk_id string, vector array<float>, floor double"
+
+    def store(packed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                models, ids, c1, c2 = (batch.column(n).to_pylist() for n in ("model", "chunk_id", "c1", "c2"))
+                spans = [index.value[m].blocks(a, b) for m, a, b in zip(models, c1, c2)]
+                parts = [r[zlib.crc32(i.encode()) % len(r)] for r, i in zip(spans, ids)]
+                if packed:
+                    c1, parts = [int(index.value[m].packed[a]) + p for m, a, p in zip(models, c1, parts)], [0] * len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("model"), pa.array(c1, pa.int32()), pa.array(parts, pa.int32()), pa.array([0] * len(ids), pa.int32())]
+                    + [batch.column(n) for n in ("chunk_id", "vector")] + [pa.array([least] * len(ids), pa.float64())],
+                    names=["model", "row", "part", "kind", "chunk_id", "vector", "floor"],
+                )
+
+        return run
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, mat = None, [], []
@@ -234,31 +301,38 @@ def nearest(vectors: DataFrame, k: int = K_NEAREST, least: float = LEAST_COSINE,
                 if held is None:
                     order = np.argsort(np.array(ids, dtype=object))
                     held = np.array(ids, dtype=object)[order], np.concatenate(mat)[order]
-                yield _best(key[0], names, x, *held, k, least)
+                yield _best(key[0], names, x, *held, k, run.column("floor").to_numpy(zero_copy_only=False))
 
     out = "model string, chunk_id string, neighbour string, similarity double"
-    # the block is the partitioning key, so one task holds one matrix at a time
-    found = (
-        stored.unionByName(queries)
-        .repartition("model", "row", "part")
-        .sortWithinPartitions("model", "row", "part", "kind")
-        .mapInArrow(rerank, out)
-    )
     best = Window.partitionBy("model", "chunk_id").orderBy(F.desc("similarity"), "neighbour")
-    return (
-        found.withColumn("_rank", F.row_number().over(best))
-        .where(F.col("_rank") <= k)
-        .select(F.element_at(F.split("model", "\u0000"), 1).alias("model"), "chunk_id", "neighbour", "similarity")
+
+    def search(queries: DataFrame, blocks, packed: bool) -> DataFrame:
+        # the block is the partitioning key, so one task holds one matrix at a time
+        found = (
+            entries.mapInArrow(store(packed), schema)
+            .unionByName(queries.mapInArrow(route(blocks), schema))
+            .repartition("model", "row", "part")
+            .sortWithinPartitions("model", "row", "part", "kind")
+            .mapInArrow(rerank, out)
+        )
+        return found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
+
+    lowest = F.lit(float(least))
+    full = search(usable.withColumn("floor", lowest), walked, False).where(F.col("_rank") == k)
+    floors = full.select("model", "chunk_id", F.col("similarity").alias("floor"))
+    asked = usable.join(floors, ["model", "chunk_id"], "left").withColumn("floor", F.coalesce("floor", lowest))
+    return search(asked, bounded, True).select(
+        F.element_at(F.split("model", "\u0000"), 1).alias("model"), "chunk_id", "neighbour", "similarity"
     )
 
 
-def _best(model: str, names: list[str], x: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, least: float) -> pa.RecordBatch:
-    """The k best entries of a block for each query; ids are sorted, so equal similarities keep their order."""
+def _best(model: str, names: list[str], x: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, floors: np.ndarray) -> pa.RecordBatch:
+    """The k best entries of a block for each query, none below its floor; ids are sorted, so equal similarities keep their order."""
     a, b, s = [], [], []
     for lo in range(0, len(names), 512):
         sims = np.round(x[lo : lo + 512] @ mat.T, 6)
         for n, name in enumerate(names[lo : lo + 512]):
-            near = np.flatnonzero(sims[n] >= least)
+            near = np.flatnonzero(sims[n] >= floors[lo + n])
             near = near[np.argsort(-sims[n][near], kind="stable")]
             taken = 0
             for j in near:
