@@ -44,30 +44,42 @@ def line_windows(
 
 
 def _extents(data: bytes, language: str) -> list[tuple[int, int]]:
-    """Top-level extents that cover the bytes: statements of Python, bracket-balanced runs of other languages."""
+    """Top-level extents that cover the bytes: statements of Python, bracket-balanced runs of other languages
+    and of Python that does not parse."""
+    starts = _statement_starts(data) if language == "python" else None
+    starts = sorted({0, *(_margin_starts(data) if starts is None else starts)})
+    return [(a, b) for a, b in zip(starts, [*starts[1:], len(data)]) if b > a]
+
+
+def _statement_starts(data: bytes) -> list[int] | None:
+    """Where the top-level statements of Python begin, with their decorators; None if it does not parse."""
     import ast
+    import warnings
 
-    starts = [0]
-    if language == "python":
-        try:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
             tree = ast.parse(data)
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        lines = [0]
-        for line in data.splitlines(keepends=True):
-            lines.append(lines[-1] + len(line))
-        for node in tree.body:
-            first = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
-            starts.append(lines[first - 1])
-    else:
-        depth, at = 0, 0
-        for line in data.splitlines(keepends=True):
-            if depth == 0 and line.strip() and not line[:1].isspace() and line[:1] not in b")}]":
-                starts.append(at)
-            depth = max(0, depth + line.count(b"{") + line.count(b"(") + line.count(b"[") - line.count(b"}") - line.count(b")") - line.count(b"]"))
-            at += len(line)
-    starts = sorted(set(starts))
-    return [(a, b) for a, b in zip(starts, [*starts[1:], len(data)]) if b > a]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    lines, starts = [0], []
+    for line in data.splitlines(keepends=True):
+        lines.append(lines[-1] + len(line))
+    for node in tree.body:
+        first = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
+        starts.append(lines[first - 1])
+    return starts
+
+
+def _margin_starts(data: bytes) -> list[int]:
+    """Where lines begin at the margin outside all brackets."""
+    starts, depth, at = [], 0, 0
+    for line in data.splitlines(keepends=True):
+        if depth == 0 and line.strip() and not line[:1].isspace() and line[:1] not in b")}]":
+            starts.append(at)
+        depth = max(0, depth + line.count(b"{") + line.count(b"(") + line.count(b"[") - line.count(b"}") - line.count(b")") - line.count(b"]"))
+        at += len(line)
+    return starts
 
 
 def structural_pieces(data: bytes, language: str, most: int = MOST_INKED) -> list[tuple[int, int]]:
@@ -102,7 +114,7 @@ def structural_pieces(data: bytes, language: str, most: int = MOST_INKED) -> lis
 def structural_chunks(files: DataFrame, key: str, text: str, language: str, most: int = MOST_INKED) -> DataFrame:
     """(key, byte_start, byte_end, code): chunks that partition every file at its declarations.
 
-    Files that can't be read as their language come as line windows instead.
+    Python that does not parse is cut where lines begin at the margin, as other languages are.
     """
     schema = pa.schema([("key", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("code", pa.string())])
 

@@ -101,6 +101,19 @@ def test_structural_pieces_partition_any_text(t, language):
             data[a:b].decode()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc {}()[]\n\té:=def", min_size=1, max_size=600), st.sampled_from(["python", "go", "text"]))
+def test_structural_pieces_cover_every_text(t, language):
+    got = chunking.structural_pieces(t.encode(), language, 40)
+    assert got and b"".join(t.encode()[a:b] for a, b in got) == t.encode()
+
+
+def test_python_that_does_not_parse_is_cut_at_the_margin():
+    code = "".join(f"def f{i}(:\n    return {i}\n\n" for i in range(3)).replace("(:", "():", 2)
+    got = chunking.structural_pieces(code.encode(), "python", 20)
+    assert [code.encode()[a : a + 6] for a, _ in got] == [b"def f0", b"def f1", b"def f2"]
+
+
 def test_structural_cuts_at_declarations():
     code = "import os\n\n" + "".join(f"def f{i}():\n    return {i} + {'1 + ' * 200}0\n\n" for i in range(3))
     got = chunking.structural_pieces(code.encode(), "python", 700)
