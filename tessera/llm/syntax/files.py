@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.chunking import joined, placed_chunks
 from tessera.operators.snapshots import snapshot_records
 
 LANGUAGES = ("python", "javascript", "typescript", "go", "proto")
+#: Rows of a batch of results.
+MOST_ROWS = 1000
 
 
 class Parsers:
@@ -65,40 +68,24 @@ def whole_files(chunks: DataFrame, use, ddl: str, schema: pa.Schema) -> DataFram
     stream by, overlaps once; no group is held but the file being joined.
     A gap ends the file there: what follows can't be placed.
     """
-    placed = (
-        chunks.where("code is not null and blob_hash is not null and byte_start is not null")
-        .select(F.lower("blob_hash").alias("blob_hash"), F.col("byte_start").cast("long").alias("at"), "language", "code")
-        .repartition("blob_hash")
-        .sortWithinPartitions("blob_hash", "at")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lang, data, rows = None, None, bytearray(), []
-
-        def close():
-            if key is not None:
-                row = use(key, lang, bytes(data).decode("utf-8", "replace"))
-                if row is not None:
-                    rows.append(row)
-
-        for batch in batches:
-            code = batch.column("code").cast(pa.binary())
-            for i, (blob, at, language) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("blob_hash", "at", "language")))):
-                if blob != key:
-                    close()
-                    key, lang, data = blob, language, bytearray()
-                if at <= len(data):
-                    piece = code[i].as_py()
-                    if at + len(piece) > len(data):
-                        data += piece[len(data) - at :]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        rows: list = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for key, lang, start, data in joined(batches):
+            row = use(key, lang, data.decode("utf-8", "replace")) if start == 0 else None
+            if row is not None:
+                rows.append(row)
+            if len(rows) == MOST_ROWS:
+                yield made()
                 rows.clear()
-        close()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield made()
 
-    return placed.mapInArrow(run, ddl)
+    return placed_chunks(chunks).mapInArrow(run, ddl)
 
 
 def unparsed_files(chunks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Cutting files into chunks: line windows, and structure where it can be seen."""
+"""Cutting files into chunks: line windows, and structure where it can be seen; and whole files from chunks."""
 
 from __future__ import annotations
 
@@ -43,6 +43,61 @@ def line_windows(
     return cut.select(key, "byte_start", F.least(F.col("byte_start") + most_bytes, F.col("e")).alias("byte_end"), "line_start", "line_end")
 
 
+def placed_chunks(chunks: DataFrame) -> DataFrame:
+    """(blob_hash, at, language, code): the chunks of a blob in one task, sorted by place; rows without one are dropped."""
+    return (
+        chunks.where("code is not null and blob_hash is not null and byte_start is not null")
+        .select(F.lower("blob_hash").alias("blob_hash"), F.col("byte_start").cast("long").alias("at"), "language", "code")
+        .repartition("blob_hash")
+        .sortWithinPartitions("blob_hash", "at")
+    )
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None, int, bytes]]:
+    """(blob_hash, language, start, bytes) of every unbroken run of a blob, from batches of ``placed_chunks``.
+
+    Chunks are joined as they stream by, overlaps once; nothing is held but the
+    run being joined.  The first run of a blob starts at 0, and is empty if the
+    blob's first chunk does not; a gap begins another.
+    """
+    key, lang, start, data = None, None, 0, bytearray()
+    for batch in batches:
+        code = batch.column("code").cast(pa.binary())
+        for i, (blob, at, language) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("blob_hash", "at", "language")))):
+            if blob != key or at > start + len(data):
+                if key is not None:
+                    yield key, lang, start, bytes(data)
+                if blob != key:
+                    key, lang, start, data = blob, language, 0, bytearray()
+                    if at > 0:
+                        yield key, lang, 0, b""
+                        start = at
+                else:
+                    start, data = at, bytearray()
+            piece = code[i].as_py()
+            if at + len(piece) > start + len(data):
+                data += piece[start + len(data) - at :]
+    if key is not None:
+        yield key, lang, start, bytes(data)
+
+
+def whole_files(chunks: DataFrame) -> DataFrame:
+    """(blob_hash, language, byte_start, text): every blob put together from its chunks.
+
+    ``byte_start`` is 0, and the text the whole blob; only where chunks leave a
+    gap, what follows it is a row of its own.
+    """
+    names = ["blob_hash", "language", "byte_start", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, lang, start, data in joined(batches):
+            if data:
+                row = ([key], [lang], [start], [data.decode("utf-8", "replace")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=names)
+
+    return placed_chunks(chunks).mapInArrow(run, "blob_hash string, language string, byte_start long, text string")
+
+
 def _extents(data: bytes, language: str) -> list[tuple[int, int]]:
     """Top-level extents that cover the bytes: statements of Python, bracket-balanced runs of other languages
     and of Python that does not parse."""
@@ -111,24 +166,25 @@ def structural_pieces(data: bytes, language: str, most: int = MOST_INKED) -> lis
     return out
 
 
-def structural_chunks(files: DataFrame, key: str, text: str, language: str, most: int = MOST_INKED) -> DataFrame:
+def structural_chunks(files: DataFrame, key: str, text: str, language: str, most: int = MOST_INKED, start: str | None = None) -> DataFrame:
     """(key, byte_start, byte_end, code): chunks that partition every file at its declarations.
 
     Python that does not parse is cut where lines begin at the margin, as other languages are.
+    ``start`` is the place of a text within its file, 0 if there is no such column.
     """
     schema = pa.schema([("key", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("code", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, t, lang in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "language"))):
+            for k, t, lang, at in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "language", "start"))):
                 data = t.encode()
-                rows += [(k, a, b, data[a:b].decode()) for a, b in structural_pieces(data, lang or "text", most)]
+                rows += [(k, at + a, at + b, data[a:b].decode()) for a, b in structural_pieces(data, lang or "text", most)]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     wanted = files.where(F.col(text).isNotNull() & (F.octet_length(text) > 0)).select(
-        F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(language).alias("language")
+        F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(language).alias("language"), (F.col(start) if start else F.lit(0)).cast("long").alias("start")
     )
     found = wanted.mapInArrow(run, "key string, byte_start int, byte_end int, code string")
     return found.withColumnRenamed("key", key)

@@ -157,9 +157,9 @@ def chunk_line_windows_capped(spark, folder):
 
 @query()
 def chunk_structural(spark, folder):
-    """Structure needs a parser, so SQL has no counterpart; tests check that the chunks partition every file."""
-    files = _chunks(spark, folder, "code").where("byte_start = 0")
-    return chunking.structural_chunks(files.withColumn("language", F.coalesce("language", F.lit("text"))), "chunk_id", "code", "language").select("chunk_id", "byte_start", "byte_end")
+    """Structure needs a parser, so SQL has no counterpart; tests check that the chunks partition every blob, put together from its chunks."""
+    files = chunking.whole_files(table(spark, folder, "chunks", "blob_hash", "byte_start", "language", "code"))
+    return chunking.structural_chunks(files, "blob_hash", "text", "language", start="byte_start").select("blob_hash", "byte_start", "byte_end")
 
 
 # ---- text and vector search

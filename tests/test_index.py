@@ -121,6 +121,22 @@ def test_structural_cuts_at_declarations():
     assert [code.encode()[a : a + 6] for a, _ in got] == [b"import", b"def f1", b"def f2"]
 
 
+def test_structural_chunks_of_whole_blobs(spark, tmp_path):
+    """A statement that goes on in the next chunk is not cut there, and no chunk but the first is left out."""
+    from tessera.plans import index_queries
+
+    code = "".join(f"def f{i}():\n    return {i} + {'1 + ' * 200}0\n\n" for i in range(9)) + "x = 'é'\n"
+    data = code.encode()
+    cut = lambda blob, size, step, lang="python": [(blob, a, a + len(data[a : a + size]), lang, data[a : a + size].decode("utf-8", "ignore"), f"{blob}:{a}", "p/a.py") for a in range(0, len(data), step)]
+    rows_ = cut("a", 500, 500) + cut("B", 700, 500) * 2 + [("gap", 0, 6, None, "x = 1\n", "g0", "g.txt"), ("gap", 50, 56, None, "y = 2\n", "g5", "g.txt"), ("late", 9, 15, "go", "z := 3", "l9", "l.go"), ("nul", 0, 3, "go", None, "n0", "n.go"), ("", 0, 0, "go", "", "e0", "e.go")]
+    spark.createDataFrame(rows_, "blob_hash string, byte_start int, byte_end int, language string, code string, chunk_id string, file_path string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got: dict = {}
+    for r in index_queries.chunk_structural(spark, str(tmp_path)).orderBy("blob_hash", "byte_start").collect():
+        got.setdefault(r.blob_hash, []).append((r.byte_start, r.byte_end))
+    want = chunking.structural_pieces(data, "python")
+    assert got == {"a": want, "b": want, "gap": [(0, 6), (50, 56)], "late": [(9, 15)]} and len(want) > 2
+
+
 def test_bm25_by_formula(spark):
     docs = spark.createDataFrame([(1, "the cat cat"), (2, "the dog"), (3, "Naïve cat"), (4, None), (5, "")], "id int, t string")
     q = spark.createDataFrame([(1, "cat"), (2, "cat cat"), (3, "naive"), (4, "?!"), (5, None), (6, "unknown")], "qid int, query string")
