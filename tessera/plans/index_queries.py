@@ -195,6 +195,11 @@ def _asked(spark, folder, tail: bool = False) -> DataFrame:
     return table(spark, folder, "eval_items", "item_id", "text").select(F.col("item_id").alias("qid"), F.array_join(part, " ").alias("query"))
 
 
+def _items(spark, folder) -> DataFrame:
+    """Every evaluation item with its whole text."""
+    return table(spark, folder, "eval_items", "item_id", "text").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
 @query(f"WITH {_bm25_sql(_HEAD)} SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def search_bm25(spark, folder):
     return lexical.bm25(table(spark, folder, "documents", "doc_id", "text"), _asked(spark, folder), "doc_id", "text", k=10)
@@ -474,7 +479,7 @@ def graph_router(spark, folder):
 def search_packed(spark, folder):
     """BM25 hits of every item over the chunks, packed into 800 tokens; tests compare the fold with a plain loop."""
     chunks = _chunks(spark, folder, "code", "breadcrumb")
-    hits = lexical.bm25(chunks, _asked(spark, folder), "chunk_id", "breadcrumb", "code", k=30)
+    hits = lexical.bm25(chunks, _items(spark, folder), "chunk_id", "breadcrumb", "code", k=30)
     rows = hits.join(chunks, "chunk_id").withColumn("tokens", text.retrieval_tokens(F.col("code")))
     return packing.pack(rows, 800)
 
@@ -483,7 +488,7 @@ def search_packed(spark, folder):
 def search_expanded(spark, folder):
     """One hop from the best BM25 chunks, at a discount; tests check it on a small graph."""
     chunks = _chunks(spark, folder, "code", "breadcrumb")
-    hits = lexical.bm25(chunks, _asked(spark, folder), "chunk_id", "breadcrumb", "code", k=20)
+    hits = lexical.bm25(chunks, _items(spark, folder), "chunk_id", "breadcrumb", "code", k=20)
     return graph.expand(hits, graph.call_edges(symbols.definitions(chunks), symbols.calls(chunks)))
 
 
@@ -581,7 +586,7 @@ def history_symbol_changes(spark, folder):
 def search_reranked(spark, folder):
     """BM25 pool of every item, reranked by how many of the query's words a passage holds (a stand-in for a model)."""
     chunks = _chunks(spark, folder, "code", "breadcrumb")
-    asked = _asked(spark, folder)
+    asked = _items(spark, folder)
     hits = lexical.bm25(chunks, asked, "chunk_id", "breadcrumb", "code", k=20)
     rows = rerank.passages(hits.select("qid", "chunk_id", F.col("rank").alias("place")), asked, chunks)
     return rerank.blend(rerank.rerank(rows, lambda pairs: [len({*q.split()} & {*p.split()}) - 2.0 for q, p in pairs]), hits, 10_000)

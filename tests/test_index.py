@@ -149,6 +149,20 @@ def test_bm25_by_formula(spark):
     assert lexical.bm25(docs.limit(0), q, "id", "t").count() == 0 and lexical.bm25(docs, q.limit(0), "id", "t").count() == 0
 
 
+def test_items_ask_with_their_whole_text(spark, tmp_path):
+    """A chunk that shares only words after the first eight of an item is found."""
+    from tessera.plans import index_queries
+
+    chunks = [(f"c{i}", f"b{i}", 0, 9, f"p/{i}.py", "python", code, f"crumb {i}") for i, code in enumerate(["def late(): return harbor", "def other(): late()", "def first(): return one", "pass", "pass", "pass"])]
+    spark.createDataFrame(chunks, "chunk_id string, blob_hash string, byte_start int, byte_end int, file_path string, language string, code string, breadcrumb string").write.parquet(str(tmp_path / "chunks.parquet"))
+    items = [(1, "one two three four five six seven eight nine harbor"), (2, "a b c d e f g h harbor"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    for name in ("search_packed", "search_reranked"):
+        assert {(r.qid, r.chunk_id) for r in index_queries.QUERIES[name](spark, str(tmp_path)).collect()} == {(1, "c0"), (1, "c2"), (2, "c0")}, name
+    # what calls the chunk found is one hop from it
+    assert {(r.qid, r.chunk_id) for r in index_queries.search_expanded(spark, str(tmp_path)).collect()} == {(1, "c1"), (2, "c1")}
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [6.0, 8.0])], "id int, v array<float>")
     unit = {r.id: r.u for r in v.where("v is not null").select("id", vectors.normalised(F.col("v")).alias("u")).collect()}
