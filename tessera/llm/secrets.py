@@ -25,19 +25,13 @@ from pyspark.sql import functions as F
 WORD_SHARE, WORD_LEAST, WORD_LONGEST = 5e-4, 4, 24
 LEAST_VALUE, LEAST_RESIDUAL = 8, 5
 
-_TRIGGER = re.compile(
-    r"[Pp]ass(?:w|phrase)|PASS(?:W|PHRASE)|pwd|Pwd|PWD|(?<![A-Za-z])(?:pass|PASS)\b|[a-z]Pass(?=[A-Z_\W\d]|$)|[Ss]ecret|SECRET"
-    r"|[Tt]oken(?![ _-]?[Bb]ucket)|TOKEN(?!_?BUCKET)|[Aa]pi[ _-]?[Kk]ey|API[ _-]?KEY|[Pp]rivate|PRIVATE"
-    r"|(?:[Ss]igning|[Ee]ncryption|[Aa]ccess)[ _-]?[Kk]ey|(?:SIGNING|ENCRYPTION|ACCESS)[ _-]?KEY|[Cc]redential|CREDENTIAL"
-    r"|[Aa]uthorization|AUTHORIZATION|[Bb]earer|://[^\s/:@\"']{0,64}:[^\s/@\"']+@|AKIA|ASIA|gh[opsru]_[A-Za-z0-9]{6}|glpat-|[sr]k_live_"
-    r"|xox[abeprs]-|AIza|eyJ|LS0tLS1CRUdJTi|\bcurl\b|IDENTIFIED BY|identified by|\bmysql|\bmariadb|\bsshpass|\bredis-cli"
-)
-#: Fixed formats of issued tokens.
-_ISSUED = re.compile(
-    r"(?<![A-Za-z0-9_/+-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsru]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}"
-    r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[abeprs]-[\w-]{16,}|AIza[\w-]{30,}"
-    r"|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}|LS0tLS1CRUdJTi[A-Za-z0-9+/=]{20,})"
-)
+#: Fixed formats of issued tokens: how they begin, and go on.
+_FORMATS = (
+    ("AKIA", "[A-Z0-9]{16}(?![A-Za-z0-9])"), ("ASIA", "[A-Z0-9]{16}(?![A-Za-z0-9])"), ("gh[opsru]_", "[A-Za-z0-9]{20,}"), ("github_pat_", r"\w{20,}"), ("glpat-", r"[\w-]{16,}"),
+    ("sk_(?:live|test)_", "[A-Za-z0-9]{16,}"), ("rk_(?:live|test)_", "[A-Za-z0-9]{16,}"), ("xox[abeprs]-", r"[\w-]{16,}"), ("AIza", r"[\w-]{30,}"),
+    ("eyJ", r"[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"), ("LS0tLS1CRUdJTi", "[A-Za-z0-9+/=]{20,}"),
+)
+_ISSUED = re.compile(r"(?<![A-Za-z0-9_/+-])(?:" + "|".join(head + rest for head, rest in _FORMATS) + ")")
 _ISSUED_HEAD = re.compile(r"(?:(?:AKIA|ASIA)[A-Z0-9]{4,}|gh[opsru]_[A-Za-z0-9]{6,}|glpat-[\w-]{4,}|[sr]k_(?:live|test)_\w{4,}|xox[abeprs]-[\w-]{6,}|AIza[\w-]{6,}|eyJ[\w-]{8,})")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@\"'`]*:([^\s@/\"'`]+)@", re.I)
@@ -73,6 +67,29 @@ _NO_VALUE = frozenset(
 )
 _COMMON = frozenset("your here my the own insert value example client access refresh auth api key token secret password webhook smtp db pass user admin".split())
 
+# What a line must hold for any place of a secret in it: each name that ``stands_for_secret`` takes holds one of
+# the first three, each format has its beginning, and addresses, headers and commands the words they are told by.
+# All alternatives begin with a letter or sign, which lets the search skip; those of _LOWER want lower-cased text.
+_LOWER = (
+    re.compile("|".join(sorted(_WORDS_OF_SECRETS))),
+    re.compile(f"(?:{'|'.join(sorted(_KEY_KINDS))})(?:[ .-]|[^\\Wa-z])*key"),
+    re.compile(r"://[^\s/:@\"'`]*:[^\s@/\"'`]+@|basic\s|bearer\s|curl|--user[ =]|identified by|mysql|mariadb|sshpass|redis-cli"),
+)
+_CASED = re.compile(
+    r"pass(?<![A-Za-z]pass)(?![a-z])|Pass(?![a-z])|PASS(?<![A-Z]PASS)(?![a-z])"
+    r"|auth(?<![A-Za-z]auth)(?![A-Za-z])|Auth(?<![A-Za-z]Auth)(?![A-Za-z])|AUTH(?<![A-Za-z]AUTH)(?![A-Za-z])|"
+    + "|".join(head for head, _ in _FORMATS)
+)
+
+
+def _candidate_lines(text: str) -> list[int]:
+    """Where the lines begin that may hold the place of a secret."""
+    low = text.lower()
+    if len(low) != len(text):  # some letters become two
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found = [m.start() for rx in _LOWER for m in rx.finditer(low)] + [m.start() for m in _CASED.finditer(text)]
+    return sorted({text.rfind("\n", 0, at) + 1 for at in found})
+
 
 def stands_for_secret(name: str) -> bool:
     """Whether a name, in any spelling, is that of a secret value."""
@@ -174,13 +191,9 @@ def credentials(text: str, words: Dictionary, code: bool = True) -> list[list[tu
             close = text.find("-----", end + 8) + 5 if end >= 0 else m.end() + len(body)
             take(m.start(), max(close, m.end()))
 
-    done = -1
-    for t in _TRIGGER.finditer(text):
-        if t.start() < done:
-            continue
-        a = text.rfind("\n", 0, t.start()) + 1
-        b = text.find("\n", t.start())
-        b = done = len(text) if b < 0 else b
+    for a in _candidate_lines(text):
+        b = text.find("\n", a)
+        b = len(text) if b < 0 else b
         _line(text, a, b, words, code, take)
     return [hits[a] for a in sorted(hits)]
 
