@@ -3,21 +3,26 @@
 A dynamic programme over boundary positions.  A state is the byte at which a
 piece starts; a decision is the boundary at which it ends; the next state is the
 restart that the overlap prescribes.  Boundaries are of three kinds: after a
-blank line, after a line, between two characters.  Two objectives:
+blank line, after a line, between two characters.  Every decision of a state is
+relaxed, and states are settled in the order of their labels, so each is settled
+once, by a least path.  Two objectives, which differ in labels only:
 
 ``"first"``
-    costs are compared piece by piece from the front, each as (kind, unused
-    bytes).  No two ends of a piece cost the same, so the optimum of a state is
-    settled by its first piece and only states on the optimal path are visited.
+    the label is the sequence of (kind, unused bytes) of the pieces so far, and
+    sequences are compared from the front.  Of two labels that differ no later
+    piece can change the order, and every state can be completed; so when a state
+    is settled, the labels that are greater are dropped with their states and the
+    common front of the rest need not be kept.
 ``"total"``
-    the sum over all pieces of the kind's weight and the squared share of unused
-    bytes is minimal; every reachable state is visited once, in order.
+    the label is the sum over all pieces of the kind's weight and the squared
+    share of unused bytes.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -65,50 +70,36 @@ def pieces(
         k = bisect_left(lines, end - overlap)
         return lines[k] if k < len(lines) and lines[k] < end else _char_after(data, end - overlap)
 
-    def last(kind: list[int], lo: int, hi: int) -> int | None:
-        k = bisect_right(kind, hi) - 1
-        return kind[k] if k >= 0 and kind[k] > lo else None
-
     def decisions(s: int) -> Iterator[tuple[int, int]]:
-        """(kind, end) of every end worth considering; of one kind the first objective only needs the last."""
+        """(kind, end) of every boundary at which a piece from ``s`` may end; of character boundaries only the last."""
         lo, hi = s + least, s + limit
-        if objective == "first":
-            for kind, at in ((0, last(blank, lo, hi)), (1, last(lines, lo, hi)), (2, _char_before(data, hi))):
-                if at is not None:
-                    yield kind, at
-        else:
-            soft = set(blank[bisect_right(blank, lo) : bisect_right(blank, hi)])
-            for at in lines[bisect_right(lines, lo) : bisect_right(lines, hi)]:
-                yield (0 if at in soft else 1), at
-            yield 2, _char_before(data, hi)
-
-    if objective == "first":
-        out, s = [], 0
-        while size - s > limit:
-            _, _, end = min((kind, limit - (at - s), at) for kind, at in decisions(s))
-            out.append((s, end))
-            s = restart(end)
-        return [*out, (s, size)]
-
-    # forward relaxation in order of position: cost so far, and how the state was reached
-    best: dict[int, tuple[float, tuple[int, int] | None]] = {0: (0.0, None)}
-    order, done = [0], []
-    while order:
-        s = order.pop(0)
-        cost = best[s][0]
-        if size - s <= limit:
-            done.append((cost + ((limit - (size - s)) / limit) ** 2, s))
+        soft = set(blank[bisect_right(blank, lo) : bisect_right(blank, hi)])
+        for at in lines[bisect_right(lines, lo) : bisect_right(lines, hi)]:
+            yield (0 if at in soft else 1), at
+        yield 2, _char_before(data, hi)
+
+    in_order = objective == "first"
+    label: dict[int, tuple | float] = {0: () if in_order else 0.0}
+    back: dict[int, tuple[int, int]] = {}  # how a state was reached: the one before it, and the end of that piece
+    open_ = [(label[0], 0)]
+    while True:
+        so_far, s = heappop(open_)
+        if so_far > label[s]:
             continue
-        for kind, at in decisions(s):
-            to, price = restart(at), cost + weights[kind] + ((limit - (at - s)) / limit) ** 2
-            if to not in best:
-                order.insert(bisect_left(order, to), to)
-            if to not in best or price < best[to][0]:
-                best[to] = (price, (s, at))
-    _, s = min(done)
-    out = [(s, size)]
-    while best[s][1] is not None:
-        s, end = best[s][1]
+        if s == size:  # the end has no piece of its own
+            break
+        if in_order:
+            open_, label, so_far = [], {}, ()  # what was left is greater at some piece
+        last = size - s <= limit
+        for kind, end in [(0, size)] if last else decisions(s):
+            to, unused = size if last else restart(end), limit - (end - s)
+            price = (*so_far, (kind, unused)) if in_order else so_far + weights[kind] + (unused / limit) ** 2
+            if to not in label or price < label[to]:
+                label[to], back[to] = price, (s, end)
+                heappush(open_, (price, to))
+    out = []
+    while s in back:
+        s, end = back[s]
         out.append((s, end))
     return out[::-1]
 
