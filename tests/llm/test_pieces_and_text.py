@@ -118,6 +118,35 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaked(d.limit(0), e).count() == 0 and leaks.leaked(d, e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block,most", [(7, 10**6), (2048, 0), (7, 0)])
+def test_leaks_do_not_depend_on_blocks_or_broadcast(spark, monkeypatch, block, most):
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randint(0, 40)}" for _ in range(n)]
+    items = [(i, " ".join(some(30))) for i in range(12)]
+    docs = [(i, " ".join(some(r.randint(0, 40)) + items[i % 12][1].split()[r.randint(0, 20) :] + some(r.randint(0, 40)))) for i in range(40)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = rows(leaks.leak_hits(d, e).distinct())
+    monkeypatch.setattr(leaks, "BLOCK", block)
+    assert want and rows(leaks.leak_hits(d, e, most=most).distinct()) == want
+
+
+def test_leaks_take_time_in_proportion_to_a_text(spark):
+    import time
+
+    e = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(30)))], "item_id long, text string")
+
+    def seconds(n):
+        d = spark.createDataFrame([(1, " ".join(f"u{k}" for k in range(n)) + " " + " ".join(f"i{k}" for k in range(30)))], "doc_id long, text string")
+        began = time.time()
+        assert leaks.leaked(d, e).count() == 1
+        return time.time() - began
+
+    seconds(20_000)
+    # ten times the words; 1.5 s are allowed for what any job costs
+    assert seconds(200_000) < 10 * (seconds(20_000) + 1.5)
+    assert seconds(1_000_000) < 60
+
+
 def test_spans(spark):
     item = " ".join(f"i{k}" for k in range(20))
     d = spark.createDataFrame([(1, "a b " + item + " c " + " ".join(f"i{k}" for k in range(12)))], "doc_id long, text string")
