@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed by the vocabulary: its splitting pattern. (?U) gives \s and \S the Unicode meaning it was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word with more than this share of all words is hot, so at most 1 / HOT_SHARE words are ...
-HOT_SHARE = 1e-5
-#: ... and none longer than this many bytes: the broadcast table of hot words stays under 20 MB at any input.
+HOT_SHARE = 2e-6
+#: ... and none longer than this many bytes: the broadcast table of hot words is bounded at any input.
 HOT_BYTES = 64
 
 
@@ -53,44 +55,74 @@ def encode_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
 
 
+def _once(docs: DataFrame, key: str) -> DataFrame:
+    """Copies of a row once.  Only rows whose key occurs again are compared as a whole."""
+    again = cut_lineage(docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("_again")))
+    if again.isEmpty():
+        return docs
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").distinct())
+
+
 def encode(documents: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): one row per distinct (id, text).
 
     Null and empty texts have the empty list.  Strings that look like special
     tokens are ordinary text; nothing is trimmed or normalised.  A document is
     one row of the result, so its words meet in one task, however long it is.
+
+    Every distinct word is encoded once.  Hot words, whose number their share
+    bounds, are broadcast and take their places as a document streams by; only
+    the others are shuffled, to the word table and back to their document.
     """
-    docs = documents.select(F.col(id_col), F.col(text_col).alias("_text"))
-    full = docs.where("_text is not null and _text <> ''")
-    bare = docs.where("_text is null or _text = ''").select(id_col, F.lit(None).cast("array<int>").alias("ids")).distinct()
-    bare = bare.withColumn("ids", F.array().cast("array<int>"))
-    key = [id_col, "_print"]
-    words = full.select(
-        id_col, F.xxhash64("_text", F.length("_text")).alias("_print"), F.posexplode(words_of(F.col("_text"))).alias("at", "word")
-    )
-    counted = full.select(F.explode(words_of(F.col("_text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    spark = documents.sparkSession
+    docs = _once(documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
+    words = words_of(F.coalesce("_text", F.lit("")))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     vocab = cut_lineage(encode_words(counted, path))
     total = vocab.agg(F.sum("n")).first()[0] or 0
     is_hot = (F.col("n") > HOT_SHARE * total) & (F.octet_length("word") <= HOT_BYTES)
-    hot = F.broadcast(vocab.where(is_hot).select("word", "ids"))
-    rare = vocab.where(~is_hot).select("word", "ids")
-    common = words.join(hot, "word")
-    others = words.join(hot.select("word"), "word", "left_anti").join(rare, "word")
-    whole = (
-        common.unionByName(others)
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("seq"))
-        # copies of a row repeat their positions; one of each is kept
-        .select(
-            id_col,
-            F.flatten(
-                F.transform(
-                    F.filter("seq", lambda x, i: (i == 0) | (F.get(F.col("seq"), i - 1)["at"] != x["at"])), lambda x: x["ids"]
-                )
-            ).alias("ids"),
-        )
+    hot = vocab.where(is_hot).select("word", "ids").toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast(hot)
+    hole = pa.struct([("k", pa.int32()), ("at", pa.int32()), ("word", pa.string())])
+    kind = dict(docs.dtypes)["_id"]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = (c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in (shared.value.column(n) for n in ("word", "ids")))
+        for batch in batches:
+            w = batch.column("w")
+            flat, bounds = w.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(w).to_numpy(zero_copy_only=False))))
+            found = pc.index_in(flat, value_set=names)
+            lists = ids.take(found)
+            upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            rare = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+            of = np.searchsorted(bounds, rare, "right") - 1  # the document of each rare word
+            firsts = np.searchsorted(of, np.arange(len(w) + 1))
+            start = upto[bounds[:-1]]
+            holes = pa.StructArray.from_arrays(
+                [pa.array(rare - bounds[of], pa.int32()), pa.array(upto[rare] - start[of], pa.int32()), flat.take(pa.array(rare))], fields=list(hole)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_key"), pa.ListArray.from_arrays(pa.array(upto[bounds], pa.int32()), lists.flatten()), pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), holes)],
+                names=["_key", "ids", "holes"],
+            )
+
+    # a key that is never null and readings that take all columns: one exchange serves both, so texts are split and looked up once
+    ddl = f"_key struct<id:{kind},print:long> not null, ids array<int>, holes array<struct<k:int,at:int,word:string>>"
+    key = F.struct(F.col("_id").alias("id"), F.xxhash64("_text").alias("print"))
+    placed = docs.select(key.alias("_key"), words.alias("w")).mapInArrow(fill, ddl).repartition("_key")
+    lost = placed.select(F.col("_key").alias("_of"), F.explode_outer(F.when(F.size("ids") >= 0, F.col("holes"))).alias("h")).where("h is not null")
+    rare = vocab.where(~is_hot).select("word", F.col("ids").alias("piece"))
+    fills = (
+        lost.select("_of", "h.k", "h.at", "h.word").join(rare, "word")
+        .groupBy("_of").agg(F.array_sort(F.collect_list(F.struct("k", "at", "piece"))).alias("f"))
     )
-    return whole.unionByName(bare)
+    whole = placed.join(fills, F.col("_key") == F.col("_of"), "left")
+    before = lambda i: F.coalesce(F.get(F.col("f"), i - 1)["at"], F.lit(0))
+    parts = F.transform("f", lambda x, i: F.concat(F.slice("ids", before(i) + 1, x["at"] - before(i)), x["piece"]))
+    last = F.element_at("f", -1)["at"]
+    mended = F.concat(F.flatten(parts), F.slice("ids", last + 1, F.size("ids") - last))
+    return whole.select(F.col("_key.id").alias(id_col), F.when(F.size("holes") == 0, F.col("ids")).otherwise(mended).alias("ids"))
 
 
 def vocabulary(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
