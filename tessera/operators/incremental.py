@@ -1,11 +1,11 @@
 """Processing only records that are new or changed since the last successful run.
 
-Two forms of one method.  :class:`Ledger` is the running form: every run rereads
-the source from the oldest transaction that was still open at the last
-successful run, drops the (key, version) pairs of the processed ledger by an
-anti-join and commits ledger and watermark together, so that a crash neither
-skips nor repeats a record.  :func:`replay` derives what every run of a whole
-history did, all runs at once.
+Every run rereads its source from the oldest transaction that was still open at
+the last successful run, drops the (key, version) pairs that the processed ledger
+holds by an anti-join, and commits ledger and watermark together, so that a crash
+neither skips nor repeats a record.  :class:`Ledger` is the running form;
+:func:`replay` derives what every run of a whole history did, all runs at once,
+by the same watermark and the same pairs.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import normal_path
+from tessera.operators.snapshots import _NONE, beside
 from tessera.session import cut_lineage
 
 
@@ -36,68 +37,90 @@ def succeeded_runs(runs: DataFrame) -> DataFrame:
     return done.withColumn("seq", F.row_number().over(order))
 
 
-def visible_sets(runs: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, branch, seq, blob_hash): the set each run sees, from rows loaded by its start.
+def reread_ranges(runs: DataFrame, good: DataFrame) -> DataFrame:
+    """(repo, branch, ref, index_id, starts): for every index (repo, branch) and ref its runs that succeeded, by start.
 
-    Only the latest visible row of a path counts, so a late, corrected or
-    withdrawn row changes what a later run of the same ref sees.
+    ``starts`` are (seq, low, started_at): the run rereads the rows of the ref
+    loaded from ``low`` to its start.  ``low`` is the start of the oldest run of
+    the ref that was open when the last successful one began - that one itself,
+    or one that has no end or ended later - and null (all rows) where none
+    succeeded before.  ``index_id`` is the least run of the pair and names it.
     """
-    rows = files.where("ref is not null and path is not null").select(
+    every = runs.where("started_at is not null and ref is not null").select("repo", "branch", "ref", "started_at", "finished_at").distinct()
+    same = ["repo", "branch", "ref"]
+    lists = every.groupBy(*same).agg(F.collect_list(F.struct("started_at", "finished_at")).alias("all"))
+    before = Window.partitionBy(*same).orderBy("seq")
+    done = good.where("ref is not null").withColumn("prev", F.lag("started_at").over(before)).join(lists, same)
+    still_open = F.filter("all", lambda r: (r["started_at"] <= F.col("prev")) & (r["finished_at"].isNull() | (r["finished_at"] > F.col("prev"))))
+    low = F.when(F.col("prev").isNotNull(), F.least("prev", F.array_min(F.transform(still_open, lambda r: r["started_at"]))))
+    return done.groupBy(*same).agg(F.min("run_id").alias("index_id"), F.array_sort(F.collect_list(F.struct("seq", low.alias("low"), "started_at"))).alias("starts"))
+
+
+def processed(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, branch, index_id, path, loaded_at, blob_hash, at, starts): each pair by the run that processed it.
+
+    A pair is the key (index, ref, path) and the version (loaded_at, blob_hash).
+    A run rereads a range of load times, so it meets pairs of earlier runs again;
+    the ledger holds a pair from the first run that met it, and the pairs that a
+    later run meets again drop out.  Both, entry and anti-join, are one aggregate:
+    the least place ``at`` among the runs of the ref.
+    """
+    rows = files.where("ref is not null and path is not null and loaded_at is not null").select(
         "ref", normal_path(F.col("path")).alias("path"), "loaded_at", F.lower("blob_hash").alias("blob_hash")
     )
-    seen = (
-        runs.select("run_id", "repo", "branch", "seq", "ref", "started_at")
-        .join(rows, "ref")
-        .where("loaded_at <= started_at")
-        .groupBy("repo", "branch", "seq", "path")
-        .agg(F.max(F.struct("loaded_at", "blob_hash"))["blob_hash"].alias("blob_hash"))
+    met = F.filter(
+        F.transform("starts", lambda r, i: F.struct(i.alias("at"), ((F.col("loaded_at") <= r["started_at"]) & (r["low"].isNull() | (F.col("loaded_at") >= r["low"]))).alias("in"))),
+        lambda x: x["in"],
+    )
+    reread = beside(rows, ranges, ["ref"]).select("repo", "branch", "index_id", "starts", "path", "loaded_at", "blob_hash", F.explode(F.transform(met, lambda x: x["at"])).alias("at"))
+    return (
+        reread.repartition("index_id", "path")
+        .groupBy("index_id", "path", "loaded_at", "blob_hash")
+        .agg(F.min("at").alias("at"), F.first("repo").alias("repo"), F.first("branch").alias("branch"), F.first("starts").alias("starts"))
     )
-    return seen.where("blob_hash is not null").select("repo", "branch", "seq", "blob_hash").distinct()
+
+
+def visible_sets(ranges: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, branch, seq, blob_hash): the set each run has, from the pairs processed up to it.
+
+    Of the versions of a path that are processed so far the latest holds, so a
+    late, corrected or withdrawn row changes what a later run of the ref sees.
+    A version holds from the run that processed it, unless a later version was
+    there already, to the run before the one that processed a later version.
+    """
+    key = ["index_id", "path"]
+    later = Window.partitionBy(*key).orderBy("loaded_at", F.asc_nulls_first("blob_hash")).rowsBetween(1, Window.unboundedFollowing)
+    upto = F.coalesce(F.min("at").over(later), F.size("starts"))
+    held = processed(ranges, files).withColumn("upto", upto).where("blob_hash is not null and at < upto")
+    seqs = F.transform(F.slice("starts", F.col("at") + 1, F.col("upto") - F.col("at")), lambda r: r["seq"])
+    return held.select("repo", "branch", "blob_hash", F.explode(seqs).alias("seq"))
 
 
 def replay(runs: DataFrame, files: DataFrame) -> DataFrame:
     """(run_id, blob_hash, action) of every successful run.
 
-    The ledger of a (repo, branch) is the first run of each hash.  ``index`` are
-    the pairs that the anti-join against the entries of earlier runs leaves;
-    ``reactivate`` those with an entry that the preceding run did not see;
-    ``deactivate`` those that only the preceding run saw.  Empty tables give no
-    rows; a run that sees nothing deactivates all that its predecessor saw.
+    ``index`` are the hashes that no earlier run of the (repo, branch) had,
+    ``reactivate`` those that one had, but not the preceding one, ``deactivate``
+    those that only the preceding one had.  Empty tables give no rows; a run that
+    sees nothing deactivates all that its predecessor saw.  Rows without a load
+    time are seen by no run.
+
+    Rows are shuffled twice: by (index, path), where pairs and versions are told,
+    and by (index, hash), where the runs of a hash are looked at in order.
     """
     good = cut_lineage(succeeded_runs(runs))
-    key = ["repo", "branch", "blob_hash"]
-    sets = cut_lineage(visible_sets(good, files))  # read four times below
-    ledger = sets.groupBy(*key).agg(F.min("seq").alias("entered"))
-    # one pass: current and preceding set side by side, then the ledger
-    last = good.groupBy("repo", "branch").agg(F.max("seq").alias("last_seq"))
-    sides = (
-        sets.select(*key, "seq", F.lit(1).alias("now"), F.lit(0).alias("before"))
-        .unionByName(sets.select(*key, (F.col("seq") + 1).alias("seq"), F.lit(0).alias("now"), F.lit(1).alias("before")))
-        .groupBy(*key, "seq")
-        .agg(F.max("now").alias("now"), F.max("before").alias("before"))
-        .where("now <> before")
-    )
-    gone = sides.where("now = 0").join(last, ["repo", "branch"]).where("seq <= last_seq").select(*key, "seq", F.lit("deactivate").alias("action"))
-    come = sides.where("now = 1").select(*key, "seq")
-    entries = ledger.select(*key, (F.col("entered")).alias("entered"))
-    fresh = unseen(come, entries, key, version="seq", entered="entered").withColumn("action", F.lit("index"))
-    back = come.join(entries, key).where("entered < seq").select(*key, "seq", F.lit("reactivate").alias("action"))
-    return (
-        fresh.unionByName(back)
-        .unionByName(gone)
-        .join(good.select("repo", "branch", "seq", "run_id"), ["repo", "branch", "seq"])
-        .select("run_id", "blob_hash", "action")
-    )
-
-
-def unseen(rows: DataFrame, ledger: DataFrame, key: list[str], version: str, entered: str) -> DataFrame:
-    """Anti-join: rows whose key has no ledger entry older than their version."""
-    old = ledger.withColumnRenamed(entered, "_entered").withColumnsRenamed({k: f"_{k}" for k in key})
-    cond = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key] + [F.col("_entered") < F.col(version)]
-    both = cond[0]
-    for c in cond[1:]:
-        both = both & c
-    return rows.join(old, both, "left_anti")
+    ranges = cut_lineage(reread_ranges(runs, good))
+    known = [F.coalesce(c, F.lit(_NONE)).alias(c) for c in ("repo", "branch")]
+    sets = visible_sets(ranges, files).select(*known, "blob_hash", "seq").distinct()
+    order = Window.partitionBy("repo", "branch", "blob_hash").orderBy("seq")
+    steps = sets.select("repo", "branch", "blob_hash", "seq", F.lag("seq").over(order).alias("was"), F.lead("seq").over(order).alias("next"))
+    come = F.when(F.col("was").isNull(), "index").when(F.col("was") < F.col("seq") - 1, "reactivate")
+    gone = F.when(F.col("next").isNull() | (F.col("next") > F.col("seq") + 1), "deactivate")
+    acts = F.array(F.struct("seq", come.alias("action")), F.struct((F.col("seq") + 1).alias("seq"), gone.alias("action")))
+    found = steps.select("repo", "branch", "blob_hash", F.explode(F.filter(acts, lambda a: a["action"].isNotNull())).alias("a"))
+    found = found.select("repo", "branch", "blob_hash", "a.seq", "a.action")
+    # the last run of an index has no successor, so what it has is not gone anywhere
+    return beside(found, good.select(*known, "seq", "run_id"), ["repo", "branch", "seq"]).select("run_id", "blob_hash", "action")
 
 
 class Ledger:

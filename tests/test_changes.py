@@ -106,13 +106,31 @@ def test_many_ordinals_of_one_bucket(spark):
 
 def test_ordinals_persist(spark):
     keys = spark.createDataFrame([("a", f"p{i}") for i in range(50)], "g string, k string")
-    first = snapshots.assign_ordinals(keys, "g", "k", buckets=4)
-    more = snapshots.assign_ordinals(keys.unionByName(spark.createDataFrame([("a", "new"), ("b", "p1")], "g string, k string")), "g", "k", first, buckets=4)
+    first = snapshots.assign_ordinals(keys, "g", "k", container=20)
+    more = snapshots.assign_ordinals(keys.unionByName(spark.createDataFrame([("a", "new"), ("b", "p1")], "g string, k string")), "g", "k", first, container=20)
     before, after = {(r.g, r.k): r.ordinal for r in first.collect()}, {(r.g, r.k): r.ordinal for r in more.collect()}
     assert all(after[k] == v for k, v in before.items()) and len(after) == 52
     assert len({(k[0], v) for k, v in after.items()}) == 52
 
 
+def test_words_fill_up(spark):
+    """A repository of 2,000 paths has at least 16 files in a word, and a container is no limit."""
+    keys = spark.createDataFrame([("a", f"src/p{i}.py") for i in range(2000)], "repo string, path string")
+    for container in (snapshots.CONTAINER, 500):
+        placed = snapshots.assign_ordinals(keys, "repo", "path", container=container).withColumn("blob_hash", F.col("path")).withColumn("seq", F.lit(1))
+        blocks = snapshots.ordinal_blocks(placed, ["repo"], ["seq"])
+        assert 2000 / blocks.count() >= 16
+        assert blocks.agg(F.sum(F.bit_count("bits"))).first()[0] == 2000
+
+
+def test_a_history_too_long_for_a_broadcast(spark, monkeypatch):
+    files, commits, runs = history(2)
+    f, c, r = spark.createDataFrame(files, FILES), spark.createDataFrame(commits, COMMITS), spark.createDataFrame(runs, RUNS)
+    want = rows(snapshots.snapshot_changes(f, c)), rows(incremental.replay(r, f))
+    monkeypatch.setattr(snapshots.beside, "__defaults__", (0,))
+    assert (rows(snapshots.snapshot_changes(f, c)), rows(incremental.replay(r, f))) == want
+
+
 def test_nulls_and_empty_tables(spark):
     none = [(None, None, None, None, None), ("a", "r1", None, "h", T0), ("a", None, "p", "h", T0), (None, "r1", "p", "H", None)]
     commits = spark.createDataFrame([("a", "m", 0, "r1"), (None, None, None, None)], COMMITS)
