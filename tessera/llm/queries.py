@@ -42,7 +42,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return syntax.unparsed_files(_whole(spark, folder)).select("blob_hash")
+    return syntax.tainted_files(_whole(spark, folder)).select("blob_hash")
 
 
 def p6_errors(spark: SparkSession, folder: str) -> DataFrame:

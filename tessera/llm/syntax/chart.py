@@ -9,6 +9,7 @@ ordered choices read from a grammar text:
 
     name = alternative / alternative ;      'kw' terminal    x? x* x+ !x &x ( )
     P<rule> B<rule> S<rule>   a ( ), { } or [ ] group whose whole content is rule
+    T<rule> L<rule> I<rule>   the same of a template or its parts, of a logical line, of an indented block
     rule:abc, P<rule:abc>     with flags set (capital) or cleared (small)
     %A                        only with flag A
     nl  a line break or the end comes next      end  the end      tok  any token
@@ -19,10 +20,12 @@ from __future__ import annotations
 import re
 import sys
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+#: Rules are plain functions, whose frames lie on the heap, so depth costs memory only.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
 
 _PIECE = re.compile(r"\s*(?:(?P<name>[A-Za-z_]\w*)|'(?P<lit>[^']+)'|%(?P<flag>[A-Z])|(?P<op>[/?*+!&()<>:;=]))")
 _OPENS, _CLOSES = {"(": ")", "{": "}", "[": "]"}, {")": "(", "}": "{", "]": "["}
+_KINDS = {"P": "(", "B": "{", "S": "[", "T": "`", "L": "L", "I": "I"}
 #: Entries kept before a chart is emptied; bounds a worker's memory, not what is parsed.
 MOST_SHAPES = 400_000
 
@@ -163,13 +166,13 @@ class Grammar:
                 return lambda t, i, f: i + 1 if i < len(t) else -1
             if name == "end":
                 return lambda t, i, f: i if i >= len(t) else -1
-            if name in ("P", "B", "S", "T") and peek("<"):
+            if name in _KINDS and peek("<"):
                 at += 1
                 rule = pieces[at]["name"]
                 at += 1
                 on, off = flags_after()
                 at += 1
-                return self._group({"P": "(", "B": "{", "S": "[", "T": "`"}[name], rule, on, off)
+                return self._group(_KINDS[name], rule, on, off)
             if name.isupper() and name not in self.sources:  # a token class
                 code = self.code_of(name)
                 return lambda t, i, f: i + 1 if i < len(t) and t[i] & -2 == code else -1
@@ -242,7 +245,9 @@ class Grammar:
                 cur.append(c)
         return None if stack else tuple(cur)
 
-    def accepts(self, rule: str, flags: int, content: tuple) -> bool:
-        if len(self.contents) > MOST_SHAPES:
-            raise OverflowError
-        return self.derives(rule, flags, content)
+    def by_shape(self) -> dict[int, list[tuple[str, int, bool]]]:
+        """(rule, flags, derived) of every entry of the chart, by shape."""
+        out: dict[int, list[tuple[str, int, bool]]] = {}
+        for (n, rule, f), ok in self.chart.items():
+            out.setdefault(n, []).append((rule, f, ok))
+        return out

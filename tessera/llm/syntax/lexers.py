@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from tessera.llm.syntax import grammars
-from tessera.llm.syntax.chart import Grammar
+from tessera.llm.syntax.chart import MOST_SHAPES, Grammar
 
 _OPENS, _CLOSES = {"(": "(", "{": "{", "[": "["}, {")": "(", "}": "{", "]": "["}
 _SKIP, _LINE, _PARTS = -2, -4, -6
@@ -23,7 +23,7 @@ _PROTO = re.compile(
 _GO_ESC = r"\\(?:[abfnrtv\\{q}]|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|[0-7]{{3}})"
 _GO = re.compile(
     rf"""\n|{_COMMENTS}|"(?:[^"\\\n]|{_GO_ESC.format(q='"')})*"|`[^`]*`|'(?:[^'\\\n]|{_GO_ESC.format(q="'")})'|{_WORD}"""
-    r"""|0[xX][0-9a-fA-F_]+i?\b|0[bB][01_]+\b|0[oO][0-7_]+\b|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?i?\w*"""
+    r"""|0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+i?|0[xX][0-9a-fA-F_]+i?\b|0[bB][01_]+\b|0[oO][0-7_]+\b|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?i?\w*"""
     r"""|\.\.\.|<<=|>>=|&\^=|:=|\+\+|--|&&|\|\||==|!=|<=|>=|<-|<<|>>|&\^|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\s]"""
 )
 _BEFORE_RE = "".join((r"=(,:\[!&|?{;+\-*%<>~^", r"\n"))
@@ -38,7 +38,7 @@ _SCRIPT = re.compile(
     r"""|\.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|<<|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\s]"""
 )
 _HOLES = re.compile(rf"\\[\s\S]|\$\{{({_HOLE})\}}")
-_NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+[ni]?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[ni]?")
+_NUMBER = re.compile(r"0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+i?|0[xX][0-9a-fA-F_]+[ni]?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[ni]?")
 
 
 class Language:
@@ -46,11 +46,11 @@ class Language:
 
     start_flags = 0
     #: Code of tokens that a lexer puts in without text; they are not counted as places.
-    inserted = -1
+    inserted: frozenset[int] = frozenset()
 
-    def __init__(self, pattern: re.Pattern, text: str, words: list[str], flags: str):
+    def __init__(self, pattern: re.Pattern, text: str, words: list[str], flags: str, classes: tuple[str, ...] = ()):
         self.pattern = pattern
-        self.grammar = Grammar(text, flags, ("ID", "NUM", "STR", "CHAR", "RE", "TMPL", "PRIV", "BAD"))
+        self.grammar = Grammar(text, flags, ("ID", "NUM", "STR", "CHAR", "RE", "TMPL", "PRIV", "BAD", *classes))
         g = self.grammar
         self.words = {w: g.code_of(w) for w in words}
         self.opens = {g.code_of(k): v for k, v in _OPENS.items()}
@@ -114,15 +114,11 @@ class Language:
         return self.grammar.fold(self.codes(text), self.opens, self.closes)
 
     def valid(self, text: str) -> bool:
-        for _ in range(2):
-            try:
-                content = self.folded(text)
-                return content is not None and self.grammar.accepts("file", self.start_flags, content)
-            except OverflowError:  # the chart is full: begin a new one
-                self.grammar.reset()
-            except RecursionError:
-                return True  # deeper than any table holds; no error was met
-        return True
+        content = self.folded(text)
+        if content is not None and len(self.grammar.contents) > MOST_SHAPES:  # the chart is full: one of its own for this file
+            self.grammar.reset()
+            content = self.folded(text)
+        return content is not None and self.grammar.derives("file", self.start_flags, content)
 
     def first_error(self, text: str) -> tuple[int, str]:
         """(line, reason) of an invalid text: a token, a bracket, or where no rule goes on.
@@ -151,17 +147,17 @@ class Language:
         if stack:
             return line(stack[-1][1]), "bracket"
         content = self.folded(text) or ()
-        place, tried = 0, [("file", self.start_flags)]
+        place, tried, known = 0, [("file", self.start_flags)], self.grammar.by_shape()
         while cur:
             stop = max(max(0, self.grammar.rules[r](content, 0, f)) for r, f in tried)
             # inserted semicolons have no place of their own
-            real = [i for i, c in enumerate(content) if c & -2 != self.inserted]
+            real = [i for i, c in enumerate(content) if c & -2 not in self.inserted]
             k = sum(1 for i in real if i < stop)
             place = cur[min(k, len(cur) - 1)][0]
             for (at, inner), i in list(zip(cur, real))[k:]:
                 n = (content[i] - self.grammar.base) >> 1
-                tried = [(key[1], key[2]) for key, ok in self.grammar.chart.items() if key[0] == n and n >= 0]
-                if inner and tried and not any(self.grammar.chart[n, r, f] for r, f in tried):
+                tried = [x[:2] for x in known.get(n, ())]
+                if inner and tried and not any(x[2] for x in known[n]):
                     content, cur = self.grammar.contents[n][1], inner
                     break
             else:
@@ -174,7 +170,8 @@ class Go(Language):
         super().__init__(_GO, grammars.GO, grammars.GO_WORDS, "C")
         self.start_flags = self.grammar.flag["C"]
         code = self.grammar.code_of
-        self.semi = self.inserted = code(";")
+        self.semi = code(";")
+        self.inserted = frozenset((self.semi,))
         self.ends = {self.c[k] for k in ("ID", "NUM", "STR", "CHAR")} | {code(k) for k in ("break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}")}
 
     def quoted(self, tok: str) -> int:
@@ -211,8 +208,89 @@ class Script(Language):
         text = text.removeprefix("\ufeff")
         return super().codes(text[text.find("\n") :] if text.startswith("#!") else text)
 
+    def valid(self, text: str) -> bool:
+        """The one pattern is right about most texts; where it finds an error, templates and
+        regular expressions are told from the tokens before them, at any depth, before it counts."""
+        if super().valid(text):
+            return True
+        if "`" not in text and "/" not in text:
+            return False
+        text = text.removeprefix("\ufeff")
+        codes, _ = self._exact(text[text.find("\n") :] if text.startswith("#!") else text, 0, False)
+        content = self.grammar.fold(codes, self.opens, self.closes)
+        return content is not None and self.grammar.derives("file", self.start_flags, content)
+
+    def _exact(self, text: str, at: int, hole: bool) -> tuple[list[int], int]:
+        """(codes, end) from ``at``; a ``hole`` of a template ends at the brace that closes it."""
+        frames: list[tuple[list[int], bool]] = []  # of enclosing templates: codes outside, and shapes so far
+        out: list[int] = []
+        stack: list[tuple[str, bool]] = []  # open brackets, and whether a value cannot stand before a slash after them
+        templates: list[list[int]] = []
+        prev, nl, n = "", 0, len(text)
+        while at < n:
+            if text[at] == "`" or (text[at] == "}" and stack and stack[-1][0] == "${"):
+                if text[at] == "`":
+                    templates.append([])
+                    frames.append((out, bool(nl)))
+                else:
+                    stack.pop()
+                    inner = self.grammar.fold(out, self.opens, self.closes)
+                    templates[-1].append(self.grammar.shape("`", list(inner) if inner is not None else [self.c["BAD"]]))
+                m = _TEMPLATE.match(text, at + 1)
+                at = m.end()
+                if m[1] == "${":
+                    stack.append(("${", True))
+                    out, prev, nl = [], "", 0
+                    continue
+                outer, before = frames.pop()
+                holes = templates.pop()
+                if m[1] is None:
+                    return [self.c["BAD"]], n
+                out = outer
+                out.append((self.grammar.shape("`", holes) if holes else self.c["TMPL"]) | before)
+                prev, nl = "`", 0
+                continue
+            if text[at] == "/" and (prev == "" or prev in _VALUE_NEXT or not (prev[0] in ")]}`\"'/" or prev[0].isalnum() or prev[0] in "_$#" or prev in ("++", "--"))):
+                m = _REGEX.match(text, at)
+                if m:
+                    out.append(self.c["RE"] | nl)
+                    at, prev, nl = m.end(), "/r", 0
+                    continue
+            m = _EXACT.match(text, at)
+            if m is None:
+                at += 1
+                continue
+            tok, at = m[0], m.end()
+            c = self.classify(tok) if tok != "/" else self.grammar.code["/"]
+            if c == _LINE:
+                nl = 1
+            if c < 0:
+                continue
+            out.append(c | nl)
+            nl = 0
+            if tok in "([{":
+                block = tok == "{" and (prev in ("", ")", ";", "{", "}", "else", "do", "try", "finally", ":") or prev == "/b")
+                stack.append((tok, (tok == "(" and prev in ("if", "while", "for", "with")) or block))
+            elif tok in ")]}" and stack and stack[-1][0] != "${":
+                tok = "" if stack.pop()[1] else tok  # after a head or a block an expression begins
+            prev = tok
+        return (out if not frames else [self.c["BAD"]]), at
+
+
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
+_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*")
+_EXACT = re.compile(_SCRIPT.pattern.replace(_SCRIPT.pattern[_SCRIPT.pattern.index("|(?:(?<=[") : _SCRIPT.pattern.index("|\\#?(?:[^")], ""))
+_VALUE_NEXT = frozenset("return typeof case in of delete void throw new instanceof else do yield await".split())
+
+
+def _python():
+    from tessera.llm.syntax.python import Python
+
+    return Python()
+
 
 MAKERS = {
+    "python": _python,
     "proto": lambda: Language(_PROTO, grammars.PROTO, grammars.PROTO_WORDS, ""),
     "go": Go,
     "javascript": lambda: Script(grammars.SCRIPT, grammars.SCRIPT_WORDS),

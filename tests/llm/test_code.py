@@ -59,25 +59,85 @@ def test_grammars(language):
 
 def test_chart_does_not_depend_on_order():
     """A shape met first as one kind of group must not spoil another; a full chart is begun anew."""
-    from tessera.llm.syntax import chart
+    from tessera.llm.syntax import lexers
 
     texts = [(t, ok) for ok, ts in ((True, GOOD["javascript"]), (False, BAD["javascript"])) for t in ts]
     for seed in range(5):
         random.Random(seed).shuffle(texts)
         parser = MAKERS["javascript"]()
         assert [t for t, ok in texts if parser.valid(t) != ok] == []
-    old, chart.MOST_SHAPES = chart.MOST_SHAPES, 3
+    old, lexers.MOST_SHAPES = lexers.MOST_SHAPES, 3
     try:
         assert [t for t, ok in texts if parser.valid(t) != ok] == []
+        # more groups than a chart holds are parsed all the same, and an error among them is met
+        many = "".join(f"f({'a, ' * i}1);\n" for i in range(50))
+        assert parser.valid(many) and not parser.valid(many + "g(a b);\n")
     finally:
-        chart.MOST_SHAPES = old
+        lexers.MOST_SHAPES = old
 
 
+@pytest.mark.parametrize("depth", [1000, 5000, 30_000])
+def test_deep_texts_are_parsed(depth):
+    p = syntax.Parsers()
+    for language, head, tail in (("javascript", "x = ", ";"), ("python", "x = ", "\n"), ("go", "package a\nvar x = ", "\n")):
+        a, b = ("(", ")") if language == "go" else ("[", "]")
+        assert p.first_error(language, head + a * depth + "a" + b * depth + tail) is None
+        assert p.first_error(language, head + a * depth + "a b" + b * depth + tail)
+    assert p.first_error("python", "x = " + " + ".join("a" for _ in range(depth)) + "\n") is None
+
+
+EXACT = {
+    "javascript": [
+        ("if (x) /re/.test(y);", True), ("x = `a${`b${`c${`d${`e${1}`}`}`}`}`;", True), ('x = `a${"}"}b`;', True), ("x = `${xs.map((y) => { return `a${{b: {c: 1}}}`; })}`;", True),
+        ("x = `a${b", False), ("x = `a${b c}`;", False), ("x = (a) / b / c;", True), ("function f() { }\n/re[/]`/.test(a);", True),
+    ],
+    "go": [("package a\nvar x = 0x1p-2\n", True)],
+    "python": [
+        ("f\"{a['b']!r:>{w}}\"\n", True), ('f"{a["b"]}"\n', True), ("f'{}'\n", False), ("f'}'\n", False), ("f'{x!z}'\n", False), ("f'{a b}'\n", False), ("x = 012\n", False), ("x = b'é'\n", False),
+        ("f(a=1, b)\n", False), ("def f(a=1, b): pass\n", False), ("f() = 1\n", False), ("try: pass\nexcept A, B: pass\n", False), ("if x:\n\ta\n        b\n", False),
+        ("with (a as b, c as d):\n    pass\n", True), ("match = 1\nprint(match)\n", True), ("x = 1if y else 2\n", True), ("class A:\n    x = 1\n\n  # odd\n    y = 2\n", True), ("(*a) = b\n", False),
+    ],
+}
+
+
+@pytest.mark.parametrize("language", sorted(EXACT))
+def test_texts_that_need_their_context(language):
+    p = syntax.Parsers()
+    assert [t for t, ok in EXACT[language] if (p.first_error(language, t) is None) != ok] == []
+
+
+def test_python_grammar_against_the_interpreter():
+    """The interpreter is the oracle: modules of its library, whole and with one token lost, doubled or cut off."""
+    import ast
+    import glob
+    import os
+    import warnings
+
+    warnings.simplefilter("ignore")
+    r, p, n = random.Random(3), syntax.Parsers(), 0
+    for name in sorted(glob.glob(os.path.dirname(os.__file__) + "/*.py"))[::4]:
+        text = open(name, encoding="utf-8").read()
+        lines = text.split("\n")
+        k = r.randrange(len(lines))
+        for t in (text, "\n".join(lines[:k] + [lines[k].replace(r.choice("():,="), "", 1)] + lines[k + 1 :]), text[: r.randrange(len(text) + 1)]):
+            try:
+                compile(t, "x", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+                want = True
+            except SyntaxError:
+                want = False
+            assert (p.first_error("python", t) is None) == want, (name, k)
+            n += not want
+    assert n > 20
+
 def test_error_places():
     p = syntax.Parsers()
     assert p.first_error("javascript", "function f() {\n  a();\n  retrun b;\n}\n") == (3, "grammar")
     assert p.first_error("go", "package a\n\nfunc f() {\n\tx := 1\n>>>>>>> x\n}\n") == (5, "grammar")
     assert p.first_error("proto", "message A {\n  string b = 1;\n") == (1, "bracket")
+    assert p.first_error("python", 'a = 1\n\ndef f():\n    b = f"""{\na}\n"""\n    retrun b\n') == (7, "grammar")
+    assert p.first_error("python", "a = 1\nif a:\nb = 2\n") == (2, "grammar")
+    assert p.first_error("python", "a = (1,\n") == (1, "bracket")
+    assert p.first_error("python", "a = 1\nb = f'{a'\n") == (2, "token")
 
 
 CHUNK = "blob_hash string, byte_start int, byte_end int, language string, code string, chunk_id string"
@@ -103,6 +163,13 @@ def test_whole_files_from_chunks(spark):
     assert syntax.unparsed_files(df.limit(0)).count() == 0
 
 
+def test_a_gap_is_no_syntax_error(spark):
+    rows_ = [("a", 0, 4, "go", "pack", "a0"), ("a", 9, 12, "go", "}}}", "a9"), ("b", 5, 6, "python", "(", "b5"), ("c", 0, 1, "python", "(", "c0")]
+    got = syntax.unparsed_files(spark.createDataFrame(rows_, CHUNK))
+    assert {(r.blob_hash, r.reason) for r in got.collect()} == {("a", "gap"), ("b", "gap"), ("c", "bracket")}
+    assert rows(syntax.tainted_files(spark.createDataFrame(rows_, CHUNK))) == [("c", "python")]
+
+
 FILES = "repo string, ref string, path string, blob_hash string, loaded_at timestamp"
 
 
