@@ -36,7 +36,7 @@ class Grammar:
     def __init__(self, text: str, flags: str, classes: tuple[str, ...]):
         self.flag = {f: 1 << i for i, f in enumerate(flags)}
         self.code: dict[str, int] = {}
-        for c in classes:
+        for c in (*"([{)]}", *classes):  # brackets have the least codes
             self.code_of(c)
         self.rules: dict[str, object] = {}
         self.sources = {}

@@ -18,24 +18,24 @@ _WORD = r"[^\W\d]\w*"
 _COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
 
 _PROTO = re.compile(
-    rf"""{_COMMENTS}|"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|[A-Za-z_]\w*|0[xX][0-9a-fA-F]+\b|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\w*|[^\s]"""
+    rf"""\s*([A-Za-z_]\w*+|{_COMMENTS}|"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|0[xX][0-9a-fA-F]+\b|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\w*|[^\s])"""
 )
 _GO_ESC = r"\\(?:[abfnrtv\\{q}]|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}|[0-7]{{3}})"
 _GO = re.compile(
-    rf"""\n|{_COMMENTS}|"(?:[^"\\\n]|{_GO_ESC.format(q='"')})*"|`[^`]*`|'(?:[^'\\\n]|{_GO_ESC.format(q="'")})'|{_WORD}"""
+    rf"""[ \t\r]*({_WORD}|\n|{_COMMENTS}|"(?:[^"\\\n]|{_GO_ESC.format(q='"')})*"|`[^`]*`|'(?:[^'\\\n]|{_GO_ESC.format(q="'")})'"""
     r"""|0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+i?|0[xX][0-9a-fA-F_]+i?\b|0[bB][01_]+\b|0[oO][0-7_]+\b|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?i?\w*"""
-    r"""|\.\.\.|<<=|>>=|&\^=|:=|\+\+|--|&&|\|\||==|!=|<=|>=|<-|<<|>>|&\^|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\s]"""
+    r"""|\.\.\.|<<=|>>=|&\^=|:=|\+\+|--|&&|\|\||==|!=|<=|>=|<-|<<|>>|&\^|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\s])"""
 )
 _BEFORE_RE = "".join((r"=(,:\[!&|?{;+\-*%<>~^", r"\n"))
 _HOLE2 = r"\{(?:[^{}`]|\{[^{}`]*\})*\}"
 _HOLE = rf"(?:[^{{}}`]|{_HOLE2}|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{[^{{}}`]*\}})*`)*"
 _SCRIPT = re.compile(
-    rf"""\n|{_COMMENTS}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_HOLE}\}})*`"""
+    rf"""[ \t\r]*([A-Za-z_$][\w$]*+|\n|{_COMMENTS}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{_HOLE}\}})*`"""
     rf"""|(?:(?<=[{_BEFORE_RE}])|(?<=[{_BEFORE_RE}]\s)|(?<=return\s)|(?<=typeof\s)|(?<=case\s)|(?<=\s\s))"""
     r"""/(?![*/\s])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*"""
     r"""|\#?(?:[^\W\d]|\$)(?:\w|\$)*"""
     r"""|0[xX][0-9a-fA-F_]+n?\b|0[bB][01_]+n?\b|0[oO][0-7_]+n?\b|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?[\w$]*"""
-    r"""|\.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|<<|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\s]"""
+    r"""|\.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|<<|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[^\s])"""
 )
 _HOLES = re.compile(rf"\\[\s\S]|\$\{{({_HOLE})\}}")
 _NUMBER = re.compile(r"0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*[pP][+-]?\d+i?|0[xX][0-9a-fA-F_]+[ni]?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[ni]?")
@@ -130,20 +130,20 @@ class Language:
         stack: list[tuple[str, int, list]] = []
         cur: list[tuple[int, list | None]] = []  # (place, inner tokens) of what folded() sees, less inserted semicolons
         for m in self.pattern.finditer(text):
-            c = self.classify(m[0])
+            c = self.classify(m[1])
             if c == self.c["BAD"]:
-                return line(m.start()), "token"
+                return line(m.start(1)), "token"
             if c in self.closes:
                 if not stack or stack[-1][0] != self.closes[c]:
-                    return line(m.start()), "bracket"
+                    return line(m.start(1)), "bracket"
                 _, at, outer = stack.pop()
                 outer.append((at, cur))
                 cur = outer
             elif c in self.opens:
-                stack.append((self.opens[c], m.start(), cur))
+                stack.append((self.opens[c], m.start(1), cur))
                 cur = []
             elif c >= 0 or c == _PARTS:
-                cur.append((m.start(), None))
+                cur.append((m.start(1), None))
         if stack:
             return line(stack[-1][1]), "bracket"
         content = self.folded(text) or ()
@@ -256,11 +256,14 @@ class Script(Language):
                     out.append(self.c["RE"] | nl)
                     at, prev, nl = m.end(), "/r", 0
                     continue
+            if text[at] in " \t\r":
+                at += 1
+                continue
             m = _EXACT.match(text, at)
             if m is None:
                 at += 1
                 continue
-            tok, at = m[0], m.end()
+            tok, at = m[1], m.end()
             c = self.classify(tok) if tok != "/" else self.grammar.code["/"]
             if c == _LINE:
                 nl = 1

@@ -125,9 +125,12 @@ _NUMBER = (
 )
 #: The place of a formatted string, by its number.
 _MARK = "%d"
+_FIELDS = r"(?:[fF][rR]?|[rR][fF])(?:%s)" % "|".join(rf"{q}(?!{q}{q})(?:[^{q}\\\n{{}}]|\{{\{{|\}}\}}|\{{[^{{}}\"'\\\n]*\}})*{q}" for q in "\"'")
+#: Blanks are passed with the token behind them; names, the most frequent tokens, are tried first.
 _TOKEN = re.compile(
-    rf"\n(?:[ \t\f]*(?:#[^\n]*)?\n)*[ \t\f]*|{_PLAIN}|[^\W\d]\w*|(?:{_NUMBER})(?=(?:and|else|for|if|in|is|not|or)\b)|(?:{_NUMBER})\w*|\#[^\n]*|\\\n|\d+"
-    r"|\.\.\.|\*\*=|//=|>>=|<<=|\*\*|//|>>|<<|!=|==|<=|>=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[^\s]"
+    rf"[ \t\f]*([^\W\d]\w*+(?![\"'])|[()\[\]{{}},]|:(?!=)|\n(?:[ \t\f]*(?:#[^\n]*)?\n)*[ \t\f]*|{_PLAIN}|{_FIELDS}|{_FORMAT}|[^\W\d]\w*"
+    rf"|(?:{_NUMBER})(?=(?:and|else|for|if|in|is|not|or)\b)|(?:{_NUMBER})\w*|\#[^\n]*|\\\n|\ue000\d+\ue001"
+    r"|\.\.\.|\*\*=|//=|>>=|<<=|\*\*|//|>>|<<|!=|==|<=|>=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[^\s])"
 )
 _SKELETON = re.compile(rf"#[^\n]*|(?<!\w)(?:({_FORMAT})|{_PLAIN})|(?<=\w)(?:{_LONG}|{_SHORT})")
 _VALID_NUMBER = re.compile(rf"(?:{_NUMBER})")
@@ -135,10 +138,14 @@ _OLD_OCTAL = re.compile(r"0[\d_]*[1-9][\d_]*")
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!(?:0010|000[0-9a-fA-F])[0-9a-fA-F]{4})|N(?!\{[^{}\n]+\}))")
 _BAD_BYTE = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
 _INNER = re.compile(rf"({_FORMAT})|{_PLAIN}|[^\W\d]\w*|!=|==|<=|>=|:=|#[^\n]*|[\s\S]")
-_FIELDLESS = re.compile(r"(?<!\w)(?:[fF]([rR]?)|([rR])[fF])(?=[\"'])")
+_OPENING = re.compile(_FORMAT)
 _NEWLINE, _SKIP = -2, -4
 
 
+class Unplaced(Exception):
+    """A formatted string whose end no pattern tells."""
+
+
 class Unclosed(Exception):
     """A formatted string that does not end as it must."""
 
@@ -222,6 +229,10 @@ def scan(text: str, at: int, opened: str) -> tuple[list, int]:
     raise Unclosed
 
 
+def _unix(text: str) -> str:
+    return text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+
+
 class Python(Language):
     def __init__(self):
         super().__init__(_TOKEN, GRAMMAR, WORDS, "", ("BYTES",))
@@ -230,6 +241,7 @@ class Python(Language):
         self.opens |= {self.line: "L", self.indent: "I"}
         self.closes |= {self.eol: "L", self.dedent: "I"}
         self.deep, self.shallow = {code(k) for k in "([{"}, {code(k) for k in ")]}"}
+        self.brackets = max(self.deep | self.shallow) + 2
         self.c["BYTES"] = code("BYTES")
         self.inserted = frozenset((self.line, self.eol, self.indent, self.dedent))
 
@@ -242,6 +254,13 @@ class Python(Language):
         if tok[-1] in "\"'":
             if len(tok) < 2:
                 return self.c["BAD"]
+            if tok[0] in "fFrR" and (m := _OPENING.match(tok)):
+                if m.end() == len(tok):
+                    raise Unplaced
+                try:
+                    return self._shape(scan(tok, m.end(), m[0])[0])
+                except Unclosed:
+                    return self.c["BAD"]
             prefix = tok[: min(tok.find(q) for q in "\"'" if q in tok)].lower()
             if "b" in prefix:
                 bad = not tok.isascii() or ("r" not in prefix and "\\x" in tok and _BAD_BYTE.search(tok))
@@ -279,41 +298,43 @@ class Python(Language):
 
     def _prepared(self, text: str) -> tuple[str, list[int], list[int]]:
         """(text with marks for formatted strings, their shapes, the line breaks each mark hides)."""
-        text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
         found, at = [], 0
-        if "{" in text or "}" in text:
-            while True:
-                m = _SKELETON.search(text, at)
-                while m and not m[1]:
-                    m = _SKELETON.search(text, m.end())
-                if not m:
-                    break
-                try:
-                    fields, at = scan(text, m.end(), m[1])
-                except Unclosed:
-                    raise Unclosed(text.count("\n", 0, m.start()) + 1) from None
-                found.append((m.start(), at, fields))
-        else:
-            text = _FIELDLESS.sub(lambda m: m[1] or m[2] or "", text)
+        while True:
+            m = _SKELETON.search(text, at)
+            while m and not m[1]:
+                m = _SKELETON.search(text, m.end())
+            if not m:
+                break
+            try:
+                fields, at = scan(text, m.end(), m[1])
+            except Unclosed:
+                raise Unclosed(text.count("\n", 0, m.start()) + 1) from None
+            found.append((m.start(), at, fields))
         shapes: list[int] = []
-        return "\n" + (self._marked(text, found, shapes) if found else text), shapes, [text.count("\n", a, b) for a, b, _ in found]
+        return "\n" + self._marked(text, found, shapes), shapes, [text.count("\n", a, b) for a, b, _ in found]
 
     def codes(self, text: str) -> list[int]:
+        text = _unix(text)
+        try:
+            return self._flat("\n" + text, [])
+        except Unplaced:
+            pass
         try:
             marked, shapes, _ = self._prepared(text)
+            return self._flat(marked, shapes)
         except Unclosed:
             return [self.c["BAD"]]
-        return self._flat(marked, shapes)
 
     def first_error(self, text: str) -> tuple[int, str]:
         """(line, reason): a token, a bracket, or the first logical line that no rule takes, else where the file's rule stops."""
+        text = _unix(text)
         try:
             marked, shapes, hidden = self._prepared(text)
         except Unclosed as e:
             return e.args[0], "token"
         line, starts, stack, fresh, real = 0, [], [], True, [self.grammar.code_of(k) for k in "([{"]
         for m in self.pattern.finditer(marked):
-            tok = m[0]
+            tok = m[1]
             if tok[0] == "\ue000" and len(tok) > 2:
                 c = 1 << 30
             else:
@@ -360,7 +381,7 @@ class Python(Language):
         if len(memo) > 200_000:
             memo.clear()
         get, add, deep, shallow = memo.get, out.append, self.deep, self.shallow
-        depth, open_line, pending, widths = 0, False, "", [(0, 0)]
+        depth, open_line, pending, widths, brackets = 0, False, "", [(0, 0)], self.brackets
         for tok in self.pattern.findall(text):
             c = get(tok)
             if c is None:
@@ -368,7 +389,7 @@ class Python(Language):
                     c = shapes[int(tok[1:-1])]
                 else:
                     c = classify(tok)
-                    if c >= 0 and len(tok) < 40:
+                    if 0 <= c < self.grammar.base and len(tok) < 40:  # shapes do not outlive their chart
                         memo[tok] = c
             if c >= 0:
                 if not open_line:
@@ -388,10 +409,8 @@ class Python(Language):
                     add(self.line)
                     open_line = True
                 add(c)
-                if c in deep:
-                    depth += 1
-                elif c in shallow:
-                    depth -= 1
+                if c < brackets:
+                    depth += 1 if c in deep else -1
             elif c == _NEWLINE and depth <= 0:
                 if open_line:
                     add(self.eol)
