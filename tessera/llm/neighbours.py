@@ -1,18 +1,21 @@
 """Most similar vectors for every vector, by an inverted multi-index.
 
 Unit vectors are cut into two halves, each half is quantised to one of K
-centroids, and a cell is a pair of centroids.  A query first walks the cells by
-summed distance with a heap until it has seen some entries, and every entry of the
-blocks it touched is reranked by the exact cosine.  The k-th similarity found so
-bounds the second step: every cell that, by its radius in both halves, can hold an
-entry as similar as that is reranked.  The first step only makes the bound tight;
-the result is that of the second, and exact whatever the size and skew.
-
-A block is a run of neighbouring cells of one row (first centroid) with a bounded
-number of entries; a crowded cell has several.  The second step, which meets many
-cells, packs rows that lie close into blocks of that size.  A block's entries are held as one
-matrix while the queries stream past it in Arrow batches.  Nothing else is kept,
-whatever the input.  A query meets a block once.
+centroids, and a cell is a pair of centroids.  Cells that lie close are packed
+into blocks of a bounded number of entries; a crowded cell has several blocks.
+
+Every vector is an entry and a query, so a query begins where it lies.  In its
+own block it walks the cells by summed distance with a heap until it has seen
+some entries and reranks those by the exact cosine.  The k-th similarity so found
+is the floor for its whole block, which one product of matrices reranks for many
+queries.  Of the cells of other blocks only those can hold a better entry that
+come, less their radius in both halves, within the floor; only to their blocks
+the query travels, once each.  The walk makes the bound tight and the bound makes
+the result exact, whatever the size and skew.
+
+A task holds the matrix of one block, while its queries stream past in Arrow
+batches.  Vectors are shuffled to their block, once more with the queries that
+travel, and not written anywhere between.
 """
 
 from __future__ import annotations
@@ -35,73 +38,65 @@ K_NEAREST, LEAST_COSINE = 10, 0.75
 FIT_SAMPLE = 20_000
 #: Bound on the centroids of a half: the table of cell sizes has at most its square, a million entries.
 MOST_CENTROIDS = 1024
-#: Entries a query's first walk has to pass before it ends, and entries of a block.
-WALK_ENTRIES, BLOCK_ENTRIES = 400, 4096
+#: Entries a query's walk has to pass before it ends, and entries of a block.
+WALK_ENTRIES, BLOCK_ENTRIES = 200, 16384
 #: Similarities are rounded to 6 decimals and distances carry rounding errors; bounds are looser by this.
 SLACK = 2e-6
 
 
 @dataclass
 class Quantiser:
-    """Centroids of both halves, and the number of entries of each cell and its radii."""
+    """Centroids of both halves; of each cell the number of entries, the radii and the blocks."""
 
     first: np.ndarray
     second: np.ndarray
     cells: np.ndarray | None = None
-    starts: np.ndarray | None = None
     held: tuple[np.ndarray, ...] | None = None
-    packed: np.ndarray | None = None
-    n_packed: int = 0
+    block_of: np.ndarray | None = None
+    parts_of: np.ndarray | None = None
 
     def count(self, cells: np.ndarray, radii: np.ndarray) -> None:
-        """Takes the cell sizes and radii in both halves; ``starts`` is the first block of each cell within its row."""
-        self.cells, self.starts = cells, (np.cumsum(cells, 1) - cells) // BLOCK_ENTRIES
+        """Takes the cell sizes and radii in both halves, and packs cells into blocks: rows in a chain of near
+        centroids, in each row the columns in such a chain."""
+        self.cells, self.parts_of = cells, np.maximum(1, -(-cells // BLOCK_ENTRIES))
+        self.block_of = np.zeros(cells.shape, np.int64)
+        n, room = -1, 0
+        columns = _chain(self.second)
+        for i in _chain(self.first):
+            for j in columns[cells[i, columns] > 0]:
+                size = int(cells[i, j])
+                if size > room:
+                    n, room = n + 1, BLOCK_ENTRIES
+                self.block_of[i, j] = n
+                room -= size
+                if size > BLOCK_ENTRIES:
+                    n, room = n + int(self.parts_of[i, j]) - 1, 0
         i, j = np.nonzero(cells)
-        parts = np.maximum(1, -(-cells // BLOCK_ENTRIES))
-        self.packed, self.n_packed = self._pack(cells.sum(1), np.where(cells > 0, self.starts + parts, 1).max(1))
-        self.held = i, j, radii[0, i, j], radii[1, i, j], radii[0].max(1), self.packed[i] + self.starts[i, j], parts[i, j]
-
-    def _pack(self, entries: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, int]:
-        """The first packed block of each row, and their number; a row goes to the nearest one not yet placed."""
-        packed, at, n, room = np.zeros(len(entries), np.int64), 0, 0, 0
-        left = np.ones(len(entries), bool)
-        for _ in range(len(entries)):
-            left[at] = False
-            if parts[at] > 1 or entries[at] > room:
-                packed[at], n, room = n, n + int(parts[at]), BLOCK_ENTRIES if parts[at] == 1 else 0
-            else:
-                packed[at] = n - 1
-            room -= int(entries[at])
-            if left.any():
-                at = int(np.where(left, _squared(self.first[at : at + 1], self.first)[0], np.inf).argmin())
-        return packed, n
+        self.held = i, j, radii[0, i, j], radii[1, i, j], radii[0].max(1), self.block_of[i, j], self.parts_of[i, j]
 
-    def blocks(self, c1: int, c2: int) -> range:
-        """The blocks of a row that hold the entries of a cell."""
-        first = int(self.starts[c1, c2])
-        return range(first, first + max(1, -(-int(self.cells[c1, c2]) // BLOCK_ENTRIES)))
+    def part(self, i: int, j: int, name: str) -> int:
+        """The block that holds an entry of a cell."""
+        parts = int(self.parts_of[i, j])
+        return int(self.block_of[i, j]) + (zlib.crc32(name.encode()) % parts if parts > 1 else 0)
 
-    def within(self, d1: np.ndarray, d2: np.ndarray, limit: float) -> list[int]:
-        """The packed blocks with a cell that may hold an entry at most ``limit`` (squared) from a query at these squared distances.
+    def within(self, d1: np.ndarray, d2: np.ndarray, limit: float) -> np.ndarray:
+        """Places in ``held`` of the cells that may hold an entry at most ``limit`` (squared) from a query at these squared distances.
 
         By the triangle inequality an entry is in each half at least as far as
         its centroid is, less the radius of its cell.
         """
-        i, j, r1, r2, widest, first, parts = self.held
+        i, j, r1, r2, widest, *_ = self.held
         s1, s2 = np.sqrt(np.maximum(d1, 0)), np.sqrt(np.maximum(d2, 0))
         at = np.flatnonzero((s1 - widest <= math.sqrt(limit))[i])
-        near = np.maximum(s1[i[at]] - r1[at], 0) ** 2 + np.maximum(s2[j[at]] - r2[at], 0) ** 2 <= limit
-        at, met = at[near], np.zeros(self.n_packed, bool)
-        met[first[at]] = True
-        for c in at[parts[at] > 1]:
-            met[first[c] : first[c] + parts[c]] = True
-        return np.flatnonzero(met).tolist()
+        return at[np.maximum(s1[i[at]] - r1[at], 0) ** 2 + np.maximum(s2[j[at]] - r2[at], 0) ** 2 <= limit]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """The centroids of each vector, and its distances from them."""
-        a, b = self.distances(x)
+        n = len(x)
+        x = np.concatenate([x, np.zeros((-n % 64, x.shape[1]))])  # whole tiles, so that a row's distances do not depend on its batch
+        a, b = (d[:n] for d in self.distances(x))
         c1, c2 = a.argmin(1), b.argmin(1)
-        at = np.arange(len(x))
+        at = np.arange(n)
         return c1, c2, np.sqrt(np.maximum(a[at, c1], 0)), np.sqrt(np.maximum(b[at, c2], 0))
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +108,17 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
 
 
+def _chain(c: np.ndarray) -> np.ndarray:
+    """An order in which each centroid is followed by the nearest one not yet placed."""
+    left, at, out = np.ones(len(c), bool), 0, []
+    for _ in range(len(c)):
+        left[at] = False
+        out.append(at)
+        if left.any():
+            at = int(np.where(left, _squared(c[at : at + 1], c)[0], np.inf).argmin())
+    return np.array(out)
+
+
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Lloyd's algorithm; empty centroids move to the points farthest from theirs."""
     rng = np.random.default_rng(seed)
@@ -154,14 +160,24 @@ def walk(d1: np.ndarray, d2: np.ndarray, cells: np.ndarray, enough: int) -> list
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
-    """(model, chunk_id, vector) with a vector of length dim, finite and not all zero; a chunk once a model."""
+    """(model, chunk_id, vector) with a vector of length dim, finite and not all zero; copies of a row may remain.
+
+    Of several vectors of one chunk and model the least is taken.  Only ids and
+    hashes are shuffled to see whether there are such chunks.
+    """
     good = vectors.where(
         F.col("chunk_id").isNotNull() & F.col("model").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == F.col("dim"))
     ).where(
         F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("vector", lambda x: x != 0)
     )
-    return good.groupBy("model", "chunk_id").agg(F.min("vector").alias("vector"))
+    rows = good.select("model", "chunk_id", "vector")
+    prints = rows.select("model", "chunk_id", F.xxhash64("vector").alias("p")).groupBy("model", "chunk_id").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    several = cut_lineage(prints.where("a <> b").select("model", "chunk_id"))
+    if several.isEmpty():
+        return rows
+    key = ["model", "chunk_id"]
+    return rows.join(several, key, "left_anti").unionByName(rows.join(several, key, "left_semi").groupBy(*key).agg(F.min("vector").alias("vector")))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -186,6 +202,61 @@ def _fit(usable: DataFrame, model: str, n: int) -> Quantiser:
     return Quantiser(fit_centroids(x[:, :h], k), fit_centroids(x[:, h:], k, seed=11))
 
 
+class Block:
+    """The entries of one block, by cell, and the search among them."""
+
+    def __init__(self, q: Quantiser, block: int, names: list[str], x: np.ndarray, c1: np.ndarray, c2: np.ndarray):
+        order = sorted(range(len(names)), key=lambda i: (c1[i], c2[i], names[i]))
+        order = [i for n, i in enumerate(order) if n == 0 or names[i] != names[order[n - 1]]]  # copies of a row lie together
+        self.q, self.block = q, block
+        self.names, self.x = np.array([names[i] for i in order], dtype=object), x[order]
+        self.c1, self.c2 = c1[order], c2[order]
+        by_name = np.argsort(self.names, kind="stable")
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[by_name] = np.arange(len(order))
+        # the grid of this block: its rows, its columns, and the run of entries of each cell
+        self.rows, r = np.unique(self.c1, return_inverse=True)
+        self.columns, c = np.unique(self.c2, return_inverse=True)
+        self.grid = np.zeros((len(self.rows), len(self.columns)), np.int64)
+        np.add.at(self.grid, (r, c), 1)
+        self.start = np.zeros_like(self.grid)
+        cell, firsts = np.unique(r * len(self.columns) + c, return_index=True)
+        self.start.ravel()[cell] = firsts
+
+    def entries(self, cells: list[tuple[int, int]]) -> np.ndarray:
+        return np.concatenate([np.arange(self.start[a, b], self.start[a, b] + self.grid[a, b]) for a, b in cells]) if cells else np.zeros(0, np.int64)
+
+    def best(self, name: str, at: np.ndarray, sims: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, similarities) of the k best of the entries ``at`` at or above the floor, ties by id; not the query itself."""
+        near = np.flatnonzero(sims >= floor)
+        near = near[self.names[at[near]] != name]
+        near = near[np.lexsort((self.rank[at[near]], -sims[near]))[:k]]
+        return at[near], sims[near]
+
+    def walked(self, name: str, v: np.ndarray, d1: np.ndarray, d2: np.ndarray, enough: int, k: int, floor: float) -> float:
+        """A lower bound of the k-th similarity, from the entries that the walk over this block's cells passes first."""
+        at = self.entries(walk(d1[self.rows], d2[self.columns], self.grid, enough))
+        _, sims = self.best(name, at, np.round(self.x[at] @ v, 6), k, floor)
+        return float(sims[-1]) if len(sims) == k else floor
+
+    def search(self, names: list[str], x: np.ndarray, floors: list[float], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``best`` gives of all entries, for each query; one product of matrices for all."""
+        every = np.arange(len(self.names))
+        for lo in range(0, len(names), 256):
+            sims = np.round(x[lo : lo + 256] @ self.x.T, 6)
+            for row, name, floor in zip(sims, names[lo : lo + 256], floors[lo : lo + 256]):
+                yield self.best(name, every, row, k, floor)
+
+
+def _others(q: Quantiser, held: np.ndarray, home: int) -> list[int]:
+    """The blocks of the cells at these places, without one."""
+    first, parts = q.held[5][held], q.held[6][held]
+    out = set(first[parts == 1].tolist())
+    for a, n in zip(first[parts > 1].tolist(), parts[parts > 1].tolist()):
+        out.update(range(a, a + n))
+    return sorted(out - {home})
+
+
 def nearest(vectors: DataFrame, k: int = K_NEAREST, least: float = LEAST_COSINE, enough: int = WALK_ENTRIES) -> DataFrame:
     """(model, chunk_id, neighbour, similarity): up to k neighbours of every usable vector.
 
@@ -197,156 +268,146 @@ def nearest(vectors: DataFrame, k: int = K_NEAREST, least: float = LEAST_COSINE,
     give no row.
     """
     spark = vectors.sparkSession
-    usable = cut_lineage(
-        usable_vectors(vectors).withColumn("model", F.concat_ws("\u0000", "model", F.size("vector").cast("string")))
-    )
+    usable = usable_vectors(vectors).withColumn("model", F.concat_ws("\u0000", "model", F.size("vector").cast("string")))
     sizes = {r["model"]: r["n"] for r in usable.groupBy("model").agg(F.count("*").alias("n")).collect()}
     quantisers = {m: _fit(usable, m, n) for m, n in sizes.items()}
     fitted = spark.sparkContext.broadcast(quantisers)
 
+    def cells_of(batch: pa.RecordBatch, qs: dict[str, Quantiser]):
+        """(model, rows, c1, c2, e1, e2) of every model of a batch."""
+        models = np.array(batch.column("model").to_pylist(), dtype=object)
+        for m in sorted(set(models)):
+            at = np.flatnonzero(models == m)
+            yield m, at, *qs[m].assign(_matrix(batch.column("vector").take(pa.array(at))))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models = np.array(batch.column("model").to_pylist(), dtype=object)
-            c1, c2 = np.zeros(len(models), np.int32), np.zeros(len(models), np.int32)
-            e1, e2 = np.zeros(len(models)), np.zeros(len(models))
-            for m in set(models):
-                at = np.flatnonzero(models == m)
-                c1[at], c2[at], e1[at], e2[at] = fitted.value[m].assign(_matrix(batch.column("vector").take(pa.array(at))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in ("model", "chunk_id", "vector")] + [pa.array(c) for c in (c1, c2, e1, e2)],
-                names=["model", "chunk_id", "vector", "c1", "c2", "e1", "e2"],
-            )
+            for m, at, c1, c2, e1, e2 in cells_of(batch, fitted.value):
+                cell, inv, n = np.unique(c1 * (MOST_CENTROIDS + 1) + c2, return_inverse=True, return_counts=True)
+                r1, r2 = np.zeros(len(cell)), np.zeros(len(cell))
+                np.maximum.at(r1, inv, e1)
+                np.maximum.at(r2, inv, e2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m] * len(cell), pa.string()), *(pa.array(c, pa.int32()) for c in np.divmod(cell, MOST_CENTROIDS + 1)), pa.array(n, pa.int64()), pa.array(r1), pa.array(r2)],
+                    names=["model", "c1", "c2", "n", "r1", "r2"],
+                )
 
-    entries = cut_lineage(
-        usable.mapInArrow(place, "model string, chunk_id string, vector array<float>, c1 int, c2 int, e1 double, e2 double")
-    )
+    cells = usable.mapInArrow(place, "model string, c1 int, c2 int, n long, r1 double, r2 double").groupBy("model", "c1", "c2")
     sizes_of = {m: np.zeros((len(q.first), len(q.second)), np.int64) for m, q in quantisers.items()}
     radii_of = {m: np.zeros((2, *n.shape)) for m, n in sizes_of.items()}
-    cells = entries.groupBy("model", "c1", "c2").agg(F.count("*").alias("n"), F.max("e1").alias("r1"), F.max("e2").alias("r2"))
-    for r in cells.toLocalIterator():
+    for r in cells.agg(F.sum("n").alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).toLocalIterator():
         sizes_of[r["model"]][r["c1"], r["c2"]] = r["n"]
         radii_of[r["model"]][:, r["c1"], r["c2"]] = r["r1"], r["r2"]
     for m, q in quantisers.items():
         q.count(sizes_of[m], radii_of[m])
     index = spark.sparkContext.broadcast(quantisers)
 
-    def route(blocks):
-        """Rows of (block, query) for the ``blocks`` (row, part) of each query."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                models = np.array(batch.column("model").to_pylist(), dtype=object)
-                floors = batch.column("floor").to_pylist()
-                take, rows, parts = [], [], []
-                for m in set(models):
-                    q, at = index.value[m], np.flatnonzero(models == m)
-                    d1, d2 = q.distances(_matrix(batch.column("vector").take(pa.array(at))))
-                    for n, i in enumerate(at):
-                        for row, part in blocks(q, d1[n], d2[n], floors[i]):
-                            take.append(i)
-                            rows.append(row)
-                            parts.append(part)
-                take = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("model").take(take), pa.array(rows, pa.int32()), pa.array(parts, pa.int32()), pa.array([1] * len(rows), pa.int32())]
-                    + [batch.column(n).take(take) for n in ("chunk_id", "vector", "floor")],
-                    names=["model", "row", "part", "kind", "chunk_id", "vector", "floor"],
-                )
-
-        return run
-
-    def walked(q: Quantiser, d1: np.ndarray, d2: np.ndarray, floor: float) -> set[tuple[int, int]]:
-        return {(a, part) for a, b in walk(d1, d2, q.cells, enough) for part in q.blocks(a, b)}
-
-    def bounded(q: Quantiser, d1: np.ndarray, d2: np.ndarray, floor: float) -> list[tuple[int, int]]:
-        return [(b, 0) for b in q.within(d1, d2, 2 - 2 * (floor - SLACK))]
-
-    schema = "model string, row int, part int, kind int, chunk_id string, vector array<float>, floor double"
+    schema = pa.schema(
+        [("model", pa.string()), ("block", pa.int32()), ("kind", pa.int8()), ("chunk_id", pa.string()), ("vector", pa.list_(pa.float32())), ("c1", pa.int32()), ("c2", pa.int32())]
+        + [("floor", pa.float64()), ("found", pa.list_(pa.string())), ("sims", pa.list_(pa.float64()))]
+    )
+    ddl = "model string, block int, kind byte, chunk_id string, vector array<float>, c1 int, c2 int, floor double, found array<string>, sims array<double>"
+    entry, query, result = 0, 1, 2
 
-    def store(packed: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                models, ids, c1, c2 = (batch.column(n).to_pylist() for n in ("model", "chunk_id", "c1", "c2"))
-                spans = [index.value[m].blocks(a, b) for m, a, b in zip(models, c1, c2)]
-                parts = [r[zlib.crc32(i.encode()) % len(r)] for r, i in zip(spans, ids)]
-                if packed:
-                    c1, parts = [int(index.value[m].packed[a]) + p for m, a, p in zip(models, c1, parts)], [0] * len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("model"), pa.array(c1, pa.int32()), pa.array(parts, pa.int32()), pa.array([0] * len(ids), pa.int32())]
-                    + [batch.column(n) for n in ("chunk_id", "vector")] + [pa.array([least] * len(ids), pa.float64())],
-                    names=["model", "row", "part", "kind", "chunk_id", "vector", "floor"],
-                )
+    def filled(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-        return run
+    def same(value, n: int, kind) -> pa.Array:
+        return pa.array([value] * n, kind)
 
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, mat = None, [], []
-        held: tuple[np.ndarray, np.ndarray] | None = None
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, at, c1, c2, _, _ in cells_of(batch, index.value):
+                ids = batch.column("chunk_id").take(pa.array(at))
+                blocks = [index.value[m].part(i, j, name) for i, j, name in zip(c1.tolist(), c2.tolist(), ids.to_pylist())]
+                yield filled(
+                    len(at), model=same(m, len(at), pa.string()), block=pa.array(blocks, pa.int32()), kind=same(entry, len(at), pa.int8()), chunk_id=ids,
+                    vector=batch.column("vector").take(pa.array(at)).cast(pa.list_(pa.float32())), c1=pa.array(c1, pa.int32()), c2=pa.array(c2, pa.int32()),
+                )
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """((model, block, kind), rows) as sorted rows stream by."""
         for batch in batches:
-            keys = list(zip(*(batch.column(n).to_pylist() for n in ("model", "row", "part"))))
-            kinds = batch.column("kind").to_pylist()
-            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1] or kinds[i] != kinds[i - 1]]
-            for a, b in zip(starts, [*starts[1:], len(keys)]):
-                run = batch.slice(a, b - a)
-                if keys[a] != key:
-                    key, ids, mat, held = keys[a], [], [], None
-                names, x = run.column("chunk_id").to_pylist(), _matrix(run.column("vector"))
-                if kinds[a] == 0:
-                    ids += names
-                    mat.append(x)
-                    held = None
-                    continue
-                if not ids:
-                    continue
-                if held is None:
-                    order = np.argsort(np.array(ids, dtype=object))
-                    held = np.array(ids, dtype=object)[order], np.concatenate(mat)[order]
-                yield _best(key[0], names, x, *held, k, run.column("floor").to_numpy(zero_copy_only=False))
+            keys = list(zip(*(batch.column(n).to_pylist() for n in ("model", "block", "kind"))))
+            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+                yield keys[a], batch.slice(a, b - a)
+
+    def opened(key: tuple, parts: list[pa.RecordBatch]) -> Block:
+        t = pa.Table.from_batches(parts)
+        col = lambda n: t.column(n).to_numpy()
+        return Block(index.value[key[0]], key[1], t.column("chunk_id").to_pylist(), _matrix(t.column("vector").combine_chunks()), col("c1"), col("c2"))
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b = opened(key, parts)
+            yield from parts  # entries, for queries that travel
+            for lo in range(0, len(b.names), 1024):
+                names, x = b.names[lo : lo + 1024], b.x[lo : lo + 1024]
+                d1, d2 = b.q.distances(x)
+                found, sims, sent, floors, to = [], [], [], [], []
+                seen = [b.walked(name, x[n], d1[n], d2[n], enough, k, least) for n, name in enumerate(names)]
+                for n, (at, s) in enumerate(b.search(names, x, seen, k)):
+                    floor = float(s[-1]) if len(s) == k else least
+                    found.append(b.names[at].tolist())
+                    sims.append(s.tolist())
+                    for block in _others(b.q, b.q.within(d1[n], d2[n], 2 - 2 * (floor - SLACK)), b.block):
+                        sent.append(n)
+                        to.append(block)
+                        floors.append(floor)
+                many = len(names)
+                yield filled(
+                    many, model=same(key[0], many, pa.string()), block=same(key[1], many, pa.int32()), kind=same(result, many, pa.int8()), chunk_id=pa.array(names, pa.string()),
+                    found=pa.array(found, pa.list_(pa.string())), sims=pa.array(sims, pa.list_(pa.float64())),
+                )
+                for a in range(0, len(sent), 4096):
+                    take = sent[a : a + 4096]
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1) * x.shape[1], pa.int32()), pa.array(x[take].astype(np.float32).ravel()))
+                    yield filled(
+                        len(take), model=same(key[0], len(take), pa.string()), block=pa.array(to[a : a + 4096], pa.int32()), kind=same(query, len(take), pa.int8()),
+                        chunk_id=pa.array(names[take], pa.string()), vector=vec, floor=pa.array(floors[a : a + 4096]),
+                    )
+
+        key, parts = None, []
+        for k_, rows in runs(batches):
+            if k_ != key and parts:
+                yield from search(key, parts)
+                parts = []
+            key = k_
+            parts.append(rows)
+        if parts:
+            yield from search(key, parts)
 
     out = "model string, chunk_id string, neighbour string, similarity double"
-    best = Window.partitionBy("model", "chunk_id").orderBy(F.desc("similarity"), "neighbour")
-
-    def search(queries: DataFrame, blocks, packed: bool) -> DataFrame:
-        # the block is the partitioning key, so one task holds one matrix at a time
-        found = (
-            entries.mapInArrow(store(packed), schema)
-            .unionByName(queries.mapInArrow(route(blocks), schema))
-            .repartition("model", "row", "part")
-            .sortWithinPartitions("model", "row", "part", "kind")
-            .mapInArrow(rerank, out)
-        )
-        return found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
-
-    lowest = F.lit(float(least))
-    full = search(usable.withColumn("floor", lowest), walked, False).where(F.col("_rank") == k)
-    floors = full.select("model", "chunk_id", F.col("similarity").alias("floor"))
-    asked = usable.join(floors, ["model", "chunk_id"], "left").withColumn("floor", F.coalesce("floor", lowest))
-    return search(asked, bounded, True).select(
-        F.element_at(F.split("model", "\u0000"), 1).alias("model"), "chunk_id", "neighbour", "similarity"
-    )
 
+    def abroad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, b = None, [], None
+        for (model, block, kind), rows in runs(batches):
+            if (model, block) != held:
+                held, parts, b = (model, block), [], None
+            if kind == entry:
+                parts.append(rows)
+                continue
+            names, found, sims = rows.column("chunk_id").to_pylist(), [], []
+            if kind == result:
+                found, sims = rows.column("found").to_pylist(), rows.column("sims").to_pylist()
+            else:
+                b = b or opened(held, parts)
+                for at, s in b.search(names, _matrix(rows.column("vector")), rows.column("floor").to_pylist(), k):
+                    found.append(b.names[at].tolist())
+                    sims.append(s.tolist())
+            many = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [same(model, sum(many), pa.string()), pa.array([x for x, n in zip(names, many) for _ in range(n)], pa.string()), pa.array([y for f in found for y in f], pa.string()), pa.array([y for f in sims for y in f], pa.float64())],
+                names=["model", "chunk_id", "neighbour", "similarity"],
+            )
 
-def _best(model: str, names: list[str], x: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, floors: np.ndarray) -> pa.RecordBatch:
-    """The k best entries of a block for each query, none below its floor; ids are sorted, so equal similarities keep their order."""
-    a, b, s = [], [], []
-    for lo in range(0, len(names), 512):
-        sims = np.round(x[lo : lo + 512] @ mat.T, 6)
-        for n, name in enumerate(names[lo : lo + 512]):
-            near = np.flatnonzero(sims[n] >= floors[lo + n])
-            near = near[np.argsort(-sims[n][near], kind="stable")]
-            taken = 0
-            for j in near:
-                if ids[j] != name:
-                    a.append(name)
-                    b.append(ids[j])
-                    s.append(float(sims[n][j]))
-                    taken += 1
-                    if taken == k:
-                        break
-    return pa.RecordBatch.from_arrays(
-        [pa.array([model] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())],
-        names=["model", "chunk_id", "neighbour", "similarity"],
-    )
+    # the block is the partitioning key, so one task holds one matrix at a time
+    homes = usable.select("model", "chunk_id", "vector").mapInArrow(store, ddl).repartition("model", "block").sortWithinPartitions("model", "block")
+    travelled = homes.mapInArrow(at_home, ddl).repartition("model", "block").sortWithinPartitions("model", "block", "kind")
+    best = Window.partitionBy("model", "chunk_id").orderBy(F.desc("similarity"), "neighbour")
+    ranked = travelled.mapInArrow(abroad, out).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
+    return ranked.select(F.element_at(F.split("model", "\u0000"), 1).alias("model"), "chunk_id", "neighbour", "similarity")
 
 
 def neighbour_pairs(vectors: DataFrame) -> DataFrame:
