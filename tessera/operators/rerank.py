@@ -2,81 +2,64 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import package_of
+from tessera.functions.text import query_terms
 from tessera.operators.fusion import rrf
 
 MOST_CHARS, SMALL_INDEX, BLEND_SMALL, BLEND_LARGE = 700, 512, 4.0, 1.0
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
-_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+")
 
-
-def _terms(text: str) -> set[str]:
-    found = set()
-    for name in _NAME.findall(text):
-        found.add(name.lower())
-        found.update(p.lower() for p in _PART.findall(name))
-    return found
-
-
-def focus(terms: set[str], label: str, code: str, most_chars: int = MOST_CHARS) -> str:
+def focus(terms: list[str], label: str, code: str, line_terms: list[list[str]], most_chars: int = MOST_CHARS) -> str:
     """The label and the window of whole lines that holds most of the terms, the earliest on ties.
 
-    Code that fits comes whole; a single line that doesn't is cut.  The window
-    is slid with two ends and counts per term, so a chunk is read once.
+    Code that fits comes whole; a line that alone doesn't is cut.  A window is
+    told by its first line, as it reaches as far as there is room; a term is in
+    it if the next line that holds the term is.
     """
     room = max(0, most_chars - len(label) - 1)
     if len(code) <= room or not room:
         return f"{label}\n{code[:room]}"
-    lines = code.splitlines(keepends=True)
-    hits = [_terms(line) & terms for line in lines]
-    held: dict[str, int] = {}
-    best, end, size = (-1, 0), 0, 0
-    for start, line in enumerate(lines):
-        if end < start:
-            end, size = start, 0
-        while end < len(lines) and size + len(lines[end]) <= room:
-            size += len(lines[end])
-            for t in hits[end]:
-                held[t] = held.get(t, 0) + 1
-            end += 1
-        n = len(held) if end > start else len(hits[start])
-        best = max(best, (n, -start))
-        if end > start:
-            size -= len(line)
-            for t in hits[start]:
-                held[t] -= 1
-                if not held[t]:
-                    del held[t]
-    start, out, size = -best[1], [], 0
-    for line in lines[start:]:
-        if size + len(line) > room:
-            break
-        out.append(line)
-        size += len(line)
-    return f"{label}\n{''.join(out) or lines[start][:room]}"
+    breaks = np.flatnonzero(np.frombuffer(code.encode("utf-32-le"), np.uint32) == 10) + 1
+    starts = np.concatenate(([0], breaks[breaks < len(code)], [len(code)]))
+    first = np.arange(len(starts) - 1)
+    upto = np.searchsorted(starts, starts[:-1] + room, "right") - 1
+    reach = np.maximum(upto, first + 1)
+    held = np.zeros(len(first), np.int64)
+    places: dict[str, list[int]] = {}
+    for n, found in enumerate(line_terms[: len(first)]):
+        for t in found:
+            places.setdefault(t, []).append(n)
+    for t in set(terms) & places.keys():
+        at = np.array([*places[t], len(first) + 1])
+        held += at[np.searchsorted(at, first)] < reach
+    best = int(held.argmax())
+    return f"{label}\n{code[starts[best] : starts[upto[best]]] or code[starts[best] : min(starts[best + 1], starts[best] + room)]}"
 
 
 def passages(pool: DataFrame, queries: DataFrame, chunks: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """(qid, chunk_id, place, query, passage) of a rerank pool (qid, chunk_id, place)."""
-    rows = pool.join(queries.select("qid", "query"), "qid").join(
-        chunks.select("chunk_id", F.coalesce("breadcrumb", F.lit("")).alias("label"), F.coalesce("code", F.lit("")).alias("code")), "chunk_id"
-    )
+    """(qid, chunk_id, place, query, passage) of a rerank pool (qid, chunk_id, place).
+
+    Terms of queries and lines come from one expression; lines end at LF.
+    """
+    asked = queries.select("qid", "query", F.coalesce(query_terms(F.col("query")), F.array().cast("array<string>")).alias("terms"))
+    code = F.coalesce("code", F.lit(""))
+    rows = pool.join(asked, "qid").join(chunks.select("chunk_id", F.coalesce("breadcrumb", F.lit("")).alias("label"), code.alias("code")), "chunk_id")
 
     @F.pandas_udf("string")
-    def cut(query, label, code):
+    def cut(terms, label, code, line_terms):
         import pandas as pd
 
-        return pd.Series([focus({t for t in _terms(q or "") if len(t) > 2}, b, c, most_chars) for q, b, c in zip(query, label, code)])
+        return pd.Series([focus(list(t), b, c, [list(x) for x in n], most_chars) for t, b, c, n in zip(terms, label, code, line_terms)])
 
-    return rows.select("qid", "chunk_id", "place", "query", cut("query", "label", "code").alias("passage"))
+    line_terms = F.transform(F.split("code", "\n"), query_terms)
+    return rows.select("qid", "chunk_id", "place", "query", cut("terms", "label", "code", line_terms).alias("passage"))
 
 
 def rerank(rows: DataFrame, score: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:

@@ -267,11 +267,9 @@ def vectors_missing(spark, folder):
 
 
 @query(
-    r"""WITH q AS (SELECT item_id, text FROM eval_items),
-t AS (SELECT item_id, text, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{2,}') AS toks,
-  list_concat(list_concat(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]{2,})\s*\(', 1), regexp_extract_all(text, '[.:]([A-Za-z_][A-Za-z0-9_]{2,})', 1)),
-    regexp_extract_all(text, '\(\*?([A-Za-z_][A-Za-z0-9_]{2,})\)', 1)) AS placed FROM q),
-k AS (SELECT item_id, list_filter(toks, lambda x: regexp_matches(x, '_|[0-9]|[a-z][A-Z]|[A-Z][a-z0-9]*[A-Z]') OR list_contains(placed, x) OR x = trim(text)) AS kept FROM t),
+    r"""WITH t AS (SELECT item_id, text, list_filter(list_transform(string_split_regex(text, '[^A-Za-z0-9_]+'), lambda w: ltrim(w, '0123456789')), lambda w: length(w) >= 3) AS toks,
+  list_transform(list_concat(list_concat(regexp_extract_all(text, '(\w+)\s*\(', 1), regexp_extract_all(text, '[.:](\w+)', 1)), regexp_extract_all(text, '\((\*?\w+)\)', 1)), lambda w: ltrim(w, '*0123456789')) AS placed FROM eval_items),
+k AS (SELECT item_id, list_filter(toks, lambda x: contains(x, '_') OR regexp_matches(x, '[0-9]') OR regexp_matches(x[2:], '[A-Z]') OR list_contains(placed, x) OR x = trim(text)) AS kept FROM t),
 u AS (SELECT item_id, unnest(kept) AS token, generate_subscripts(kept, 1) AS pos FROM k)
 SELECT item_id, token, CAST(row_number() OVER (PARTITION BY item_id ORDER BY min(pos)) AS INTEGER) AS place FROM u GROUP BY item_id, token"""
 )
@@ -284,18 +282,20 @@ _SPLIT = "list_transform(regexp_extract_all(regexp_replace(regexp_replace({0}, '
 
 
 @query(
-    f"""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) AS token FROM eval_items)
+    f"""WITH s AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) AS token FROM eval_items) WHERE token <> '')
 SELECT token, array_to_string({_SPLIT.format("token")}, ' ') AS words FROM s"""
 )
 def text_split_identifiers(spark, folder):
     q = table(spark, folder, "eval_items", "text")
-    names = q.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))).alias("token")).distinct()
+    names = q.select(F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("token")).where("token <> ''").distinct()
     return names.select("token", F.array_join(text.split_identifier(F.col("token")), " ").alias("words"))
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.\-]+(?:/[A-Za-z0-9_.\-]+)+|[A-Za-z0-9_\-]+\.(?:go|py|ts|tsx|js|jsx|mjs|cjs|proto)\b')) AS raw FROM documents)
-SELECT DISTINCT doc_id, regexp_replace(raw, '\.+$', '') AS segment FROM s WHERE length(regexp_replace(raw, '\.+$', '')) >= 4"""
+    rf"""WITH r AS (SELECT doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9_./-]+')) AS run FROM documents),
+p AS (SELECT doc_id, rtrim(trim(piece, '/'), '.') AS piece FROM (SELECT doc_id, unnest(string_split_regex(run, '//+')) AS piece FROM r)),
+n AS (SELECT doc_id, CASE WHEN contains(piece, '/') THEN piece ELSE regexp_extract(piece, '([^.]+\.(?:{text.FILE_SUFFIXES}))(?:[.-].*)?$', 1) END AS segment FROM p)
+SELECT DISTINCT doc_id, segment FROM n WHERE length(segment) >= 4"""
 )
 def text_path_segments(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")

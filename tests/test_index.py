@@ -186,6 +186,11 @@ def test_query_functions(spark):
     assert got == [["fetchWithRetry", "my_func", "Flush", "x2y"], ["slugify"], [], ["Archive", "Write"], None]
     segs = [r.t for r in q.select(text.path_segments(F.col("q")).alias("t")).collect()]
     assert segs[0] == ["pkg/a.go"] and segs[1] == []
+    odd = spark.createDataFrame([("see https://h.x/a/b. or ./c/d.py, x.y.ts, z.go-like, a.md, 9abc A1Bc",)], "q string")
+    assert odd.select(text.path_segments(F.col("q"))).first()[0] == ["h.x/a/b", "./c/d.py", "y.ts", "z.go"]
+    assert odd.select(text.split_identifier(F.lit("A1Bc2DE"))).first()[0] == ["a", "1", "bc2", "de"]
+    assert odd.select(text.query_terms(F.lit("getUserName of x_id 9abc"))).first()[0] == ["abc", "get", "getusername", "name", "user", "x_id"]
+    assert odd.select(text.search_tokens(F.lit("Ǎé Ṩe\u0301 ÀB_c"))).first()[0] == ["ae", "se", "ab_c"]
     words = spark.createDataFrame([("fetchHTTPResponse_v2",), ("ABC",), ("",)], "w string").select(text.split_identifier(F.col("w")).alias("t"))
     # an upper-case run that a lower-case letter follows gives up its last letter
     assert [r.t for r in words.collect()] == [["fetch", "http", "response", "v2"], ["abc"], []]
@@ -355,10 +360,15 @@ def test_incremental_sync_equals_rebuild(spark, tmp_path):
     assert got == {h: h in tree.values() for h in ever}
 
 
+def line_words(line):
+    import re
+
+    names = re.findall(r"[A-Za-z_]\w+", line)
+    return {x.lower() for n in names for x in [n, *re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", n)]}
+
+
 def plain_focus(terms, label, code, most):
     """Every window tried from every line."""
-    from tessera.operators.rerank import _terms
-
     room = max(0, most - len(label) - 1)
     if len(code) <= room or not room:
         return f"{label}\n{code[:room]}"
@@ -367,7 +377,7 @@ def plain_focus(terms, label, code, most):
         b = a
         while b < len(lines) and sum(map(len, lines[a : b + 1])) <= room:
             b += 1
-        got = set().union(*(_terms(x) & terms for x in lines[a : max(b, a + 1)]))
+        got = set().union(*(line_words(x) & terms for x in lines[a : max(b, a + 1)]))
         if best is None or len(got) > best[0]:
             best = len(got), "".join(lines[a:b]) or lines[a][:room]
     return f"{label}\n{best[1]}"
@@ -379,7 +389,9 @@ def test_focus_equals_trying_all_windows(lines, most):
     from tessera.operators import rerank
 
     terms = {"alpha", "user", "gamma", "delta"}
-    assert rerank.focus(terms, "lb", "".join(lines), most) == plain_focus(terms, "lb", "".join(lines), most)
+    code = "".join(lines)
+    got = rerank.focus(sorted(terms), "lb", code, [sorted(line_words(x)) for x in code.split("\n")], most)
+    assert got == plain_focus(terms, "lb", code, most)
 
 
 def test_rerank_blend_and_trim(spark):
