@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 
 from tessera.operators.snapshots import snapshot_records
 
-#: Notes count only within the first lines of a file, and only in comments.
-HEAD_LINES = 6
-_COMMENT = rb"(?m)^[ \t]*(?://|#|/\*+|\*|<!--|--)[ \t]*"
+#: Notes count in what a file has before its first line of code: comments of any number and length, and a docstring.
+_DOC = rb"[rRuU]?\"\"\"[\s\S]*?(?:\"\"\"|\Z)|[rRuU]?'''[\s\S]*?(?:'''|\Z)"
+_LEADING = re.compile(rb"(?:\xef\xbb\xbf)?(?:[ \t\r\n]+|(?://|#|--)[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z)|" + _DOC + rb"|['\"]use strict['\"];?)*+")
+_COMMENT = rb"(?m)^[ \t]*(?://|#|/\*+|\*|<!--|--|[rRuU]?\"\"\"|[rRuU]?''')?[ \t]*"
 TOOL_NOTE = re.compile(
     _COMMENT
     + rb"(?:[^\n]*@generated\b|</?auto-?generated|auto-?generated\b"
     rb"|[^\n]{0,40}\bcode generated by\b[^\n]*\bdo not (?:edit|modify)"
     rb"|(?:this file|this code|this module)[^\n]{0,30}\b(?:was|is|has been) (?:automatically|auto-?)[ -]?(?:generated|created|written)"
     rb"|(?:this file|this code) (?:was|is) generated\b"
+    rb"|automatically generated by \S"
     rb"|machine-(?:written|generated|made)\b"
     rb"|do not (?:modify|edit)[!.,: ][^\n]*\b(?:output|generated|produced)\b"
     rb"|(?:output|generated|produced|written) (?:of|by) [^\n]*\b(?:do not|don't) (?:edit|modify)"
@@ -38,6 +40,8 @@ COPY_NOTE = re.compile(
     _COMMENT
     + rb"(?:vendored:[ \t]*\S+@\d"
     rb"|copied (?:unchanged |verbatim )?from \S+ v?\d+\.\d+[^\n]*\bupstream\b"
+    rb"|(?:vendored|copied verbatim|copied unchanged) from https?://"
+    rb"|copied from [\w.@/-]+ v?\d+\.\d+\.\d+\b"
     rb"|imported unchanged from\b"
     rb"|origin:[ \t]*https?://\S+[^\n]*(?:\btag\b|@)"
     rb"|\S+ v\d+\.\d+\.\d+[ \t]*\r?\n[^\n]*\(c\)[ \t]*\d{4}[^\n]* the (?!authors of this repository)[^\n]*(?:contributors|authors))",
@@ -54,8 +58,13 @@ VENDOR_PLACE = (
 LOCK_NAMES = r"(?i)(^|/)(copy_|old_)?(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|pipfile\.lock|cargo\.lock|composer\.lock|gemfile\.lock|go\.sum|uv\.lock)$"
 
 LONG_LINE = 200
-#: Least share of bytes in long lines with at most this share of white space: minified.
-MINIFIED = {"lines": 0.5, "space": 0.08}
+#: Minified: least share of bytes in long lines with at most this share of white space; or, for a bundle that
+#: is wrapped, a mean and a longest line of at least so many bytes with at most that share of white space and
+#: at least that of letters and digits.
+MINIFIED = {"javascript": (0.5, 0.08), "typescript": (0.5, 0.08)}
+MINIFIED_ELSE = (0.5, 0.08)
+WRAPPED = {"javascript": (70, 100, 0.05, 0.5), "typescript": (70, 100, 0.05, 0.5)}
+WRAPPED_ELSE = (90, 120, 0.04, 0.5)
 #: Least share of bytes in encoded runs, and in numeric literals, by language: data saved as code.
 ENCODED_SHARE, ENCODED_RUN = 0.75, 40
 NUMBER_SHARE = {"javascript": 0.085, "typescript": 0.085}
@@ -73,7 +82,8 @@ _DIGITS = re.compile(rb"0x[0-9a-fA-F]+|\d+(?:\.\d+)?")
 _NUMBER = re.compile(rb"(?<![A-Za-z_0-9.])(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?)")
 _RUN = re.compile(rb"[A-Za-z0-9+/=]{%d,}" % ENCODED_RUN)
 _LOCK = re.compile(rb"(?m)^[ \t]*\"?(?:integrity|resolved|checksum)\"?:?[ \t]")
-_STATS = ("bytes", "lines", "spaces", "long_bytes", "number_bytes", "run_bytes", "repeats", "locks")
+_STATS = ("bytes", "lines", "spaces", "long_bytes", "number_bytes", "run_bytes", "repeats", "locks", "alnum", "longest")
+_ALNUM = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
 
 
 def layout(data: bytes, repeats: bool = True) -> tuple[int, ...]:
@@ -92,12 +102,14 @@ def layout(data: bytes, repeats: bool = True) -> tuple[int, ...]:
         sum(map(len, _RUN.findall(data))),
         again,
         len(_LOCK.findall(data)),
+        len(data) - len(data.translate(None, _ALNUM)),
+        max(map(len, lines), default=0),
     )
 
 
 def head_notes(data: bytes) -> tuple[bool, bool]:
-    """(tool output, third-party copy) by the first lines."""
-    head = b"\n".join([x for x in data[:8192].split(b"\n") if x.strip()][:HEAD_LINES])
+    """(tool output, third-party copy) by what stands before the first line of code."""
+    head = _LEADING.match(data)[0]
     return bool(TOOL_NOTE.search(head)), bool(COPY_NOTE.search(head))
 
 
@@ -157,14 +169,22 @@ def file_origin(chunks: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy("blob_hash")
         .agg(
             F.min("language").alias("language"),
-            *[F.sum(s).alias(s) for s in _STATS],
+            *[(F.max if s == "longest" else F.sum)(s).alias(s) for s in _STATS],
             F.max("tool_note").alias("tool_note"),
             F.max("copy_note").alias("copy_note"),
         )
     )
     share = lambda s, of: F.col(s) / F.greatest(F.col(of), F.lit(1))
     code = F.coalesce(F.col("language"), F.lit("")) != "text"
-    minified = (share("long_bytes", "bytes") > MINIFIED["lines"]) & (share("spaces", "bytes") < MINIFIED["space"])
+    limit = lambda table, other, n: _by_language({k: v[n] for k, v in table.items()}, other[n])
+    minified = (share("long_bytes", "bytes") > limit(MINIFIED, MINIFIED_ELSE, 0)) & (share("spaces", "bytes") < limit(MINIFIED, MINIFIED_ELSE, 1))
+    wrapped = (
+        (share("bytes", "lines") >= limit(WRAPPED, WRAPPED_ELSE, 0))
+        & (F.col("longest") >= limit(WRAPPED, WRAPPED_ELSE, 1))
+        & (share("spaces", "bytes") < limit(WRAPPED, WRAPPED_ELSE, 2))
+        & (share("alnum", "bytes") >= limit(WRAPPED, WRAPPED_ELSE, 3))
+        & (F.col("lines") >= 3)
+    )
     numbers = share("number_bytes", "bytes")
     table = (numbers > _by_language(NUMBER_SHARE, NUMBER_SHARE_ELSE)) & (
         (numbers > NUMBER_SHARE_ELSE) | (share("repeats", "lines") > TABLE_REPEAT)
@@ -178,7 +198,7 @@ def file_origin(chunks: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("tool_note"), "tool")
         .when(F.col("copy_note") | F.coalesce(F.col("vendor_place"), F.lit(False)), "copy")
         .when(encoded | table, "data")
-        .when(minified, "minified")
+        .when(minified | wrapped, "minified")
         .when(rote | lock, "tool")
         .otherwise("hand"),
     )
