@@ -29,11 +29,13 @@ LEAST_VALUE, LEAST_RESIDUAL = 8, 5
 _FORMATS = (
     ("AKIA", "[A-Z0-9]{16}(?![A-Za-z0-9])"), ("ASIA", "[A-Z0-9]{16}(?![A-Za-z0-9])"), ("gh[opsru]_", "[A-Za-z0-9]{20,}"), ("github_pat_", r"\w{20,}"), ("glpat-", r"[\w-]{16,}"),
     ("sk_(?:live|test)_", "[A-Za-z0-9]{16,}"), ("rk_(?:live|test)_", "[A-Za-z0-9]{16,}"), ("xox[abeprs]-", r"[\w-]{16,}"), ("AIza", r"[\w-]{30,}"),
+    ("hf_", "[A-Za-z0-9]{24,}"), ("npm_", "[A-Za-z0-9]{30,}"), (r"SG\.", r"[\w-]{16,}\.[\w-]{16,}"), ("sk-(?:proj|ant|live)-", r"[\w-]{20,}"), ("shp(?:at|ss|ca)_", "[a-fA-F0-9]{24,}"), ("dop_v1_", "[a-f0-9]{40,}"),
     ("eyJ", r"[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"), ("LS0tLS1CRUdJTi", "[A-Za-z0-9+/=]{20,}"),
 )
 _ISSUED = re.compile(r"(?<![A-Za-z0-9_/+-])(?:" + "|".join(head + rest for head, rest in _FORMATS) + ")")
 _ISSUED_HEAD = re.compile(r"(?:(?:AKIA|ASIA)[A-Z0-9]{4,}|gh[opsru]_[A-Za-z0-9]{6,}|glpat-[\w-]{4,}|[sr]k_(?:live|test)_\w{4,}|xox[abeprs]-[\w-]{6,}|AIza[\w-]{6,}|eyJ[\w-]{8,})")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_ENCODED_LINES = re.compile(r"(?:(?:\\[nr]|[\s\"'`+,|#*])*[A-Za-z0-9+/=]{16,}|[ \t\"'`+,|#*\r\n\\]*(?:Proc-Type|DEK-Info|Version|Comment): [^\n]*)*+(?:(?:\\[nr]|[\s\"'`+,|#*])*[A-Za-z0-9+/=]+)?")
 _ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@\"'`]*:([^\s@/\"'`]+)@", re.I)
 _PAIR = re.compile(
     r"(?P<name>[A-Za-z_][\w.-]*)(?P<shut>\\?[\"'`]?\s*\]?)\s*(?P<op>:=|=>|=|:|,)\s*(?P<mark>(?:\b[bBrRuUfF]{1,2})?(?P<quote>\\?[\"'`]))?"
@@ -53,6 +55,8 @@ _PART = re.compile(r"^\s*(?:[bBrRuUfF]{1,2})?[\"'`]([^\"'`]*)[\"'`]\s*\+?\s*\)?,
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _DIGEST = re.compile(r"(?:sha-?\d+|md5|crc32|blake2b?)[:=-]", re.I)
+#: Known formats of password hashes: they are made to be kept.
+_HASHED = re.compile(r"\$(?:2[abxy]?|argon2(?:id|i|d)|1|5|6|y|scrypt|pbkdf2[\w-]*)\$|\{(?:S?SHA\d*|MD5|CRYPT)\}|pbkdf2_sha\d+\$", re.I)
 _HEX = re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}")
 _REFERENCE = re.compile(r"\$\{|\$\(|\{\{|%\(|<[^>]*>|^\$[A-Za-z_]|^%[A-Za-z_]|^(?:os|process|env|vault|secrets?|config|settings|self|this)\b[.\[]|^(?:arn|vault|file|env|ref|ssm):", re.I)
 _STOPS = frozenset(
@@ -151,7 +155,7 @@ def is_credential(value: str, words: Dictionary, least: int = LEAST_VALUE) -> bo
         return False
     if re.search(r"\*{3,}|x{4,}|\.{3,}", v, re.I) or re.match(r"(?:your|my|insert|enter|put)[-_]", low):
         return False
-    if _UUID.fullmatch(v) or _DIGEST.match(v):
+    if _UUID.fullmatch(v) or _DIGEST.match(v) or _HASHED.match(v):
         return False
     if _HEX.fullmatch(v):  # only named places ask; names of digests and commits stand for no secret
         return any(c.isdigit() for c in v)
@@ -185,7 +189,9 @@ def credentials(text: str, words: Dictionary, code: bool = True) -> list[list[tu
 
     for m in _KEY_BLOCK.finditer(text):
         end = text.find("-----END", m.end())
-        body = text[m.end() : end if end >= 0 else m.end() + 4000]
+        if end < 0:  # a block that is cut off goes on as long as its lines are encoded
+            rest = _ENCODED_LINES.match(text, m.end())
+        body = text[m.end() : end if end >= 0 else rest.end()]
         bare = re.sub(r"\\n|[\s\"'+,|]", "", body)
         if not bare or re.match(r"[A-Za-z0-9/=:;-]{16,}", bare):
             close = text.find("-----", end + 8) + 5 if end >= 0 else m.end() + len(body)
