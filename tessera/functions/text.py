@@ -27,7 +27,8 @@ LEAST_NAME, LEAST_PATH = 3, 4
 
 def search_tokens(text: Column) -> Column:
     """Case- and accent-folded runs of letters, numbers and underscores, with repeats."""
-    folded = F.translate(F.lower(text), _ACCENTED, _FOLDED)
+    low = F.lower(text)
+    folded = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _FOLDED))  # ASCII has nothing to fold
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 

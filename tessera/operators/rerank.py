@@ -85,12 +85,14 @@ def rerank(rows: DataFrame, score: Callable[[list[tuple[str, str]]], list[float]
     return scored.select("qid", "chunk_id", F.round(bounded, 9).alias("score"), F.row_number().over(order).alias("rank"))
 
 
-def blend(reranked: DataFrame, vector_list: DataFrame, active_blobs: int) -> DataFrame:
+def blend(reranked: DataFrame, vector_list: DataFrame, blobs: DataFrame) -> DataFrame:
     """(qid, chunk_id, score, rank): the reranked order fused with the whole vector order, kept to the pool.
 
-    Vectors weigh four times on small indexes and as much on large ones.
+    Vectors weigh four times on small indexes and as much on large ones; the size
+    is the number of active blobs (blob_hash, active).
     """
-    weight = BLEND_SMALL if active_blobs <= SMALL_INDEX else BLEND_LARGE
+    active = blobs.where("active").select("blob_hash").distinct().limit(SMALL_INDEX + 1).count()
+    weight = BLEND_SMALL if active <= SMALL_INDEX else BLEND_LARGE
     fused = rrf([reranked.select("qid", "chunk_id", "rank"), vector_list.select("qid", "chunk_id", "rank")], "chunk_id", weights=[1.0, weight])
     return fused.join(reranked.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import package_of
 from tessera.operators.facts import FAMILIES
 from tessera.operators.graph import GENERIC_NAMES
+from tessera.session import cut_lineage
 
 #: What a relative import of a script may stand for, in this order.
 SCRIPT_ENDS = (".ts", ".tsx", ".mts", ".js", ".jsx", ".mjs")
@@ -108,6 +109,7 @@ def edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     repository; otherwise it is dropped, never guessed.  Only definitions of the
     caller's own family count.
     """
+    facts = cut_lineage(facts)  # read once, used for nodes, imports and sites
     nodes = symbols(facts, files)
     defs = nodes.where("kind <> 'module'").withColumnRenamed("symbol", "name")
     bound = import_targets(facts, files)

@@ -106,9 +106,9 @@ def route(symbols: DataFrame, queries: DataFrame, fanout: int = 3, ambiguous: in
     return scored.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("qid", "token", "chunk_id", "score")
 
 
-def fuzzy_terms(queries: DataFrame, most: int = 5) -> DataFrame:
-    """(qid, term): the first identifier tokens, or without any the longest words of over three letters."""
+def fuzzy_terms(queries: DataFrame, most: int = 5, names: bool = True) -> DataFrame:
+    """(qid, term): the first identifier tokens, or without any (or ``names``) the longest words of over three letters."""
     tokens = identifier_tokens(F.col("query"))
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.col("query"), F.lit(r"\w+"), F.lit(0)), lambda w: F.length(w) > 3))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.col("query"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 3))
     longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, most), lambda x: x["w"])
-    return queries.select("qid", F.explode(F.when(F.size(tokens) > 0, F.slice(tokens, 1, most)).otherwise(longest)).alias("term"))
+    return queries.select("qid", F.explode(F.when(F.lit(names) & (F.size(tokens) > 0), F.slice(tokens, 1, most)).otherwise(longest)).alias("term"))

@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nth(values: Column, index: Column) -> Column:
-    """The value at an index from 0 of the sorted values."""
-    return F.element_at(F.array_sort(values), (index + 1).cast("int"))
+def p50(value: str) -> Column:
+    """The median, the mean of the middle two of an even number."""
+    return F.percentile(value, F.lit(0.5))
+
+
+def per_second(n: Column, seconds: Column) -> Column:
+    """Throughput; null if no time was spent."""
+    return F.when(seconds > 0, n / seconds)
+
+
+def since(usage: DataFrame, when: str | None) -> DataFrame:
+    """Calls at or after a time; a bare date is midnight UTC."""
+    return usage if when is None else usage.where(F.col("ts") >= F.lit(when).cast("timestamp_ntz"))
 
 
 def p95_usage(n: Column) -> Column:
@@ -42,13 +52,13 @@ def percentile_at(df: DataFrame, by: list[str], value: str, pick) -> DataFrame:
     return summed.where(F.col("_upto") > pick(F.col("_n"))).groupBy(*by).agg(F.min(value).alias(value))
 
 
-def tool_report(usage: DataFrame, since: str | None = None) -> DataFrame:
-    """(tool, calls, avg_latency, p95_latency, tokens, expands) of calls at or after ``since``.
+def tool_report(usage: DataFrame, when: str | None = None) -> DataFrame:
+    """(tool, calls, avg_latency, p95_latency, tokens, expands) of calls at or after ``when``.
 
     A bare date is midnight UTC.  Tools come with the 95th percentile that takes
     the value at ``0.95 n`` of the sorted latencies.
     """
-    rows = usage if since is None else usage.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    rows = since(usage, when)
     totals = rows.groupBy("tool").agg(
         F.count("*").alias("calls"),
         F.round(F.avg("latency_ms"), 6).alias("avg_latency"),
@@ -59,6 +69,17 @@ def tool_report(usage: DataFrame, since: str | None = None) -> DataFrame:
     return totals.join(p95, "tool", "left").select("tool", "calls", "avg_latency", "p95_latency", "tokens", "expands")
 
 
+def path_report(usage: DataFrame) -> DataFrame:
+    """(path_taken, calls, avg_latency): by the way a search went, ``n/a`` for calls without one."""
+    return usage.groupBy(F.coalesce("path_taken", F.lit("n/a")).alias("path_taken")).agg(F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 6).alias("avg_latency"))
+
+
+def expand_rate(usage: DataFrame) -> DataFrame:
+    """(searches, expands, expand_rate), one row; the rate is 0 without a search."""
+    n = usage.agg(F.count_if(~F.coalesce("expanded", F.lit(False))).alias("searches"), F.count_if(F.col("expanded")).alias("expands"))
+    return n.withColumn("expand_rate", F.when(F.col("searches") > 0, F.col("expands") / F.col("searches")).otherwise(0.0))
+
+
 def daily_calls(usage: DataFrame) -> DataFrame:
     """(day, tool, calls)."""
     return usage.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "tool").agg(F.count("*").alias("calls"))

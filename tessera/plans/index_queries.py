@@ -155,11 +155,25 @@ def chunk_line_windows_capped(spark, folder):
     return chunking.line_windows(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", 7, 2, 300)
 
 
+def _structural(spark, folder) -> DataFrame:
+    files = chunking.whole_files(table(spark, folder, "chunks", "blob_hash", "byte_start", "language", "code"))
+    return chunking.structural_chunks(files, "blob_hash", "text", "language", start="byte_start")
+
+
 @query()
 def chunk_structural(spark, folder):
-    """Structure needs a parser, so SQL has no counterpart; tests check that the chunks partition every blob, put together from its chunks."""
-    files = chunking.whole_files(table(spark, folder, "chunks", "blob_hash", "byte_start", "language", "code"))
-    return chunking.structural_chunks(files, "blob_hash", "text", "language", start="byte_start").select("blob_hash", "byte_start", "byte_end")
+    """Structure needs a parser, so SQL has no counterpart; ``chunk_coverage`` and tests check that the chunks partition every blob."""
+    return _structural(spark, folder).select("blob_hash", "byte_start", "byte_end", "breadcrumb", "tainted")
+
+
+@query(
+    """SELECT lower(blob_hash) AS blob_hash, CAST(min(byte_start) AS INTEGER) AS first_byte, CAST(max(byte_end) AS INTEGER) AS last_byte, CAST(max(byte_end) AS BIGINT) AS covered
+FROM chunks WHERE code IS NOT NULL GROUP BY 1 HAVING max(byte_end) > 0"""
+)
+def chunk_coverage(spark, folder):
+    """The bytes that the structural chunks of each blob cover: all of it, once."""
+    cut = _structural(spark, folder).groupBy("blob_hash")
+    return cut.agg(F.min("byte_start").alias("first_byte"), F.max("byte_end").alias("last_byte"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("covered"))
 
 
 # ---- text and vector search
@@ -179,20 +193,19 @@ n AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(dl) FROM dl
 q AS (SELECT qid, term, count(*) AS q_tf FROM (SELECT item_id AS qid, unnest({_tok(words)}) AS term FROM eval_items) GROUP BY 1, 2),
 w AS (SELECT qid, term, q_tf, CASE WHEN n_docs - df + 0.5 > df + 0.5 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, n_terms / n_docs AS avgdl
       FROM q JOIN df USING (term), n),
-scored AS (SELECT qid, doc_id, round(sum(q_tf * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+scored AS (SELECT qid, doc_id, round(sum(q_tf * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * dl / avgdl))), 9) AS score
       FROM w JOIN tf USING (term) JOIN dl USING (doc_id) GROUP BY 1, 2),
 ranked AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored)"""
 
 
-_HEAD = "array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')"
-_TAIL = "array_to_string(list_slice(string_split(text, ' '), -8, -1), ' ')"
+_HEAD = "text"
+_TAIL = "regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g')"
 
 
 def _asked(spark, folder, tail: bool = False) -> DataFrame:
-    """The first or last eight words of every evaluation item."""
-    words = F.split("text", " ")
-    part = F.slice(words, F.greatest(F.lit(1), F.size(words) - 7), F.lit(8)) if tail else F.slice(words, 1, 8)
-    return table(spark, folder, "eval_items", "item_id", "text").select(F.col("item_id").alias("qid"), F.array_join(part, " ").alias("query"))
+    """The whole text of every evaluation item, or its ASCII words alone."""
+    text_ = F.regexp_replace("text", "[^A-Za-z0-9_]+", " ") if tail else F.col("text")
+    return table(spark, folder, "eval_items", "item_id", "text").select(F.col("item_id").alias("qid"), text_.alias("query"))
 
 
 def _items(spark, folder) -> DataFrame:
@@ -589,7 +602,7 @@ def search_reranked(spark, folder):
     asked = _items(spark, folder)
     hits = lexical.bm25(chunks, asked, "chunk_id", "breadcrumb", "code", k=20)
     rows = rerank.passages(hits.select("qid", "chunk_id", F.col("rank").alias("place")), asked, chunks)
-    return rerank.blend(rerank.rerank(rows, lambda pairs: [len({*q.split()} & {*p.split()}) - 2.0 for q, p in pairs]), hits, 10_000)
+    return rerank.blend(rerank.rerank(rows, lambda pairs: [len({*q.split()} & {*p.split()}) - 2.0 for q, p in pairs]), hits, table(spark, folder, "blobs", "blob_hash", "active"))
 
 
 @query(

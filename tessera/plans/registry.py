@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import change_queries, index_queries
+from tessera.plans import change_queries, index_queries, search_queries
 
-_MODULES = [change_queries, index_queries]
+_MODULES = [change_queries, index_queries, search_queries]
 
 
 def queries() -> dict:

@@ -95,10 +95,10 @@ def test_line_windows(spark):
 def test_structural_pieces_partition_any_text(t, language):
     data = t.encode()
     got = chunking.structural_pieces(data, language, 40)
-    if language != "python" or got:
-        assert b"".join(data[a:b] for a, b in got) == (data if got else b"")
-        for a, b in got:
-            data[a:b].decode()
+    assert b"".join(data[a:b] for a, b in got) == data
+    for a, b in got:
+        data[a:b].decode()
+        assert chunking._inked(data, a, b) <= 43
 
 
 @settings(max_examples=60, deadline=None)
@@ -108,10 +108,30 @@ def test_structural_pieces_cover_every_text(t, language):
     assert got and b"".join(t.encode()[a:b] for a, b in got) == t.encode()
 
 
-def test_python_that_does_not_parse_is_cut_at_the_margin():
-    code = "".join(f"def f{i}(:\n    return {i}\n\n" for i in range(3)).replace("(:", "():", 2)
-    got = chunking.structural_pieces(code.encode(), "python", 20)
-    assert [code.encode()[a : a + 6] for a, _ in got] == [b"def f0", b"def f1", b"def f2"]
+def test_python_that_does_not_parse_keeps_what_does():
+    good = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(4))
+    code = (good + "def bad(:\n    x\n\n" + good).encode()
+    got = chunking.pieces(code, "python", 60)
+    assert b"".join(code[a:b] for a, b, _ in got) == code
+    assert [code[a : a + 7] for a, b, bad in got if bad] == [b"def bad"]  # alone, merged with nothing
+    crumbs = chunking.breadcrumbs(code, "python", "p/a.py", got)
+    assert [c for c in crumbs if c.endswith("does not parse")] == ["# p/a.py :: bad :: def bad(: :: does not parse"]
+    # mostly errors, or no whole definition: windows of lines, all of them marked
+    for text in (b"def f(:\n  pass\n", b"<<<<<<< a\nx = 1\n=======\n>>>>>>> b\n"):
+        assert [t for _, _, t in chunking.pieces(text, "python")] == [True]
+
+
+def test_large_definitions_are_split_level_by_level():
+    method = lambda i: f"    def m{i}(self):\n        \"\"\"Doc {i}.\"\"\"\n        return {'1 + ' * 60}{i}\n\n"
+    code = ("class A:\n    x = 1\n\n" + "".join(map(method, range(4))) + "def last():\n    pass\n").encode()
+    got = chunking.pieces(code, "python", 200)
+    assert b"".join(code[a:b] for a, b, _ in got) == code
+    assert [code[a:b].split(b"(")[0].split()[-1] for a, b, _ in got] == [b"m0", b"m1", b"m2", b"m3"]
+    assert chunking.breadcrumbs(code, "python", "a.py", got)[1] == "# a.py :: A > m1 :: def m1(self): :: Doc 1."
+    go = b"package a\n\nfunc (b *Box) Put() {\n" + b"\tx()\n" * 50 + b"}\n\nfunc New() {\n" + b"\ty()\n" * 50 + b"}\n"
+    assert [go[a : a + 8] for a, _, _ in chunking.pieces(go, "go", 250)] == [b"package ", b"func New"]
+    deep = ("def f():\n" + "".join("    " * (i + 1) + f"def g{i}():\n" for i in range(60)) + "    " * 61 + "pass\n").encode()
+    assert b"".join(deep[a:b] for a, b, _ in chunking.pieces(deep, "python", 30)) == deep
 
 
 def test_structural_cuts_at_declarations():
@@ -157,6 +177,7 @@ def test_items_ask_with_their_whole_text(spark, tmp_path):
     spark.createDataFrame(chunks, "chunk_id string, blob_hash string, byte_start int, byte_end int, file_path string, language string, code string, breadcrumb string").write.parquet(str(tmp_path / "chunks.parquet"))
     items = [(1, "one two three four five six seven eight nine harbor"), (2, "a b c d e f g h harbor"), (3, None)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    spark.createDataFrame([(f"b{i}", True) for i in range(6)], "blob_hash string, active boolean").write.parquet(str(tmp_path / "blobs.parquet"))
     for name in ("search_packed", "search_reranked"):
         assert {(r.qid, r.chunk_id) for r in index_queries.QUERIES[name](spark, str(tmp_path)).collect()} == {(1, "c0"), (1, "c2"), (2, "c0")}, name
     # what calls the chunk found is one hop from it
@@ -404,7 +425,7 @@ def test_rerank_blend_and_trim(spark):
     got = {r.chunk_id: (r.rank, r.score) for r in done.collect()}
     assert [got[c][0] for c in "bac"] == [1, 2, 3] and got["a"][1] == 0.0 and abs(got["b"][1] - 1 / (1 + math.exp(-2))) < 1e-8
     vec = spark.createDataFrame([(1, "c", 1), (1, "z", 2), (1, "a", 3)], "qid int, chunk_id string, rank int")
-    small = {r.chunk_id: r.score for r in rerank.blend(done, vec, 512).collect()}
+    small = {r.chunk_id: r.score for r in rerank.blend(done, vec, spark.range(600).selectExpr("cast(id as string) blob_hash", "id < 512 active")).collect()}
     assert small == {"a": round(1 / 62 + 4 / 63, 9), "b": round(1 / 61, 9), "c": round(1 / 63 + 4 / 61, 9)}
     rows_ = spark.createDataFrame([(1, 1, 40), (1, 2, 40), (1, 3, 40)], "qid int, place int, row_chars int")
     assert rows(rerank.trim_replies(rows_, 20)) == [(1, 1, 40, 1), (2, 1, 40, 1)]
