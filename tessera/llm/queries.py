@@ -149,7 +149,17 @@ shares AS (
 )
 """
 
+P9_SPANS_SQL = (
+    P9_SQL[: P9_SQL.rindex("SELECT DISTINCT")].replace("SELECT doc_id, array_to_string(list_slice(w, i, i + 11), ' ') AS g", "SELECT doc_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 11), ' ') AS g").rstrip()
+    + """, hits AS (SELECT DISTINCT doc_id, item_id, pos FROM wins JOIN grams USING (g)),
+marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER o > 12 OR lag(pos) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM hits WINDOW o AS (PARTITION BY doc_id, item_id ORDER BY pos)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS run FROM marked)
+SELECT doc_id, item_id, CAST(min(pos) AS INTEGER) AS first_word, CAST(max(pos) + 11 AS INTEGER) AS last_word FROM runs GROUP BY doc_id, item_id, run"""
+)
+
 SQL = {
+    "p8_decoded": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_spans": P9_SPANS_SQL,
     "p9_found": P9_SQL,
     "p10_found": P10_CORE + "SELECT doc_id FROM shares WHERE n_repeats * 10 >= n_words * 3",
     "p10_share": P10_CORE + "SELECT doc_id, n_words, n_repeats FROM shares",
