@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import package_of
 
-FAMILIES = {"python": "python", "typescript": "ecma", "tsx": "ecma", "javascript": "ecma", "go": "go", "proto": "proto"}
+#: Languages whose definitions may answer each other's calls, by the ending of a path; others stand for themselves.
+_ENDINGS = {"py": r"(?i)\.pyi?$", "ecma": r"(?i)\.([mc]?ts|tsx|[mc]?js|jsx)$", "go": r"(?i)\.go$", "proto": r"(?i)\.proto$"}
+
+
+def family(path):
+    """The family of a file's language."""
+    out = F.lit("other")
+    for name, rx in _ENDINGS.items():
+        out = F.when(path.rlike(rx), name).otherwise(out)
+    return out
+
+
 #: Method names of common built-in types, which never resolve by being unique.
 GENERIC_NAMES = tuple(
     """
@@ -28,19 +39,19 @@ def call_edges(symbols: DataFrame, sites: DataFrame) -> DataFrame:
 
     A name resolves within its file, else to the one package it is defined in
     next to the caller, else to the only definition there is, unless it is a
-    generic name; otherwise it is dropped, never guessed.  Ties go to the first
-    path and place.  Both sides are keyed by name, so resolution is one equi-join
+    generic name; otherwise it is dropped, never guessed.  Only definitions of the
+    caller's language family count.  Ties go to the first path and place.  Both sides are keyed by name, so resolution is one equi-join
     and the choice among definitions a bounded aggregate, not a pairing of files.
     """
     defs = symbols.groupBy("symbol", "path").agg(F.min(F.struct("byte_start", "chunk_id"))["chunk_id"].alias("chunk_id"))
-    defs = defs.withColumn("package", package_of(F.col("path")))
-    in_package = defs.groupBy("symbol", "package").agg(F.min(F.struct("path", "chunk_id"))["chunk_id"].alias("pkg_dst"))
-    unique = defs.groupBy("symbol").agg(F.count("*").alias("n"), F.min("chunk_id").alias("only_dst")).where("n = 1")
-    asked = sites.withColumn("package", package_of(F.col("path"))).withColumnRenamed("name", "symbol")
+    defs = defs.withColumns({"package": package_of(F.col("path")), "family": family(F.col("path"))})
+    in_package = defs.groupBy("symbol", "family", "package").agg(F.min(F.struct("path", "chunk_id"))["chunk_id"].alias("pkg_dst"))
+    unique = defs.groupBy("symbol", "family").agg(F.count("*").alias("n"), F.min("chunk_id").alias("only_dst")).where("n = 1")
+    asked = sites.withColumns({"package": package_of(F.col("path")), "family": family(F.col("path"))}).withColumnRenamed("name", "symbol")
     resolved = (
         asked.join(defs.select("symbol", "path", F.col("chunk_id").alias("own_dst")), ["symbol", "path"], "left")
-        .join(in_package, ["symbol", "package"], "left")
-        .join(unique.select("symbol", "only_dst"), "symbol", "left")
+        .join(in_package, ["symbol", "family", "package"], "left")
+        .join(unique.select("symbol", "family", "only_dst"), ["symbol", "family"], "left")
     )
     generic = F.col("symbol").isin(*GENERIC_NAMES)
     dst = F.coalesce("own_dst", F.when(~generic, F.coalesce("pkg_dst", "only_dst")))

@@ -124,17 +124,23 @@ def replay(runs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Exactly-once incremental processing over a folder that all executors share.
-
-    ``folder`` holds one sub-folder a committed run (the pairs it processed) and
-    a manifest naming them, the low watermark and the run count.  A run that
-    fails before the manifest is replaced leaves files that no manifest names;
-    the next run starts from the old watermark and the anti-join removes what
-    was already committed.  Keys and versions may be null (compared null-safe);
-    rows with a null transaction time are always reread, so they are late but
-    never lost.
+    """Incremental processing over a folder that all executors share; each (key, version) is handed over by one committed run.
+
+    ``folder`` holds one sub-folder a committed run (the pairs it processed, with
+    their transaction times) and a manifest naming them, the low watermark and
+    the run count.  A run that fails before its manifest is there leaves files
+    that no manifest names; the next run deletes them, starts from the old
+    watermark and is given the same number, so a sink that writes under the
+    number of its run repeats nothing.  Parts of which every pair is older than
+    the watermark can't be met again and are left out, the others are merged when
+    they are many.  Keys and versions may be null (compared null-safe); rows with
+    a null transaction time are always reread, so they are late but never lost,
+    and their pairs are kept.
     """
 
+    #: Parts that are read beside each other before they are merged into one.
+    MOST_PARTS = 16
+
     def __init__(self, spark: SparkSession, folder: str, key: list[str], version: str, at: str):
         self.spark, self.folder, self.key, self.version, self.at = spark, folder.rstrip("/"), key, version, at
 
@@ -143,60 +149,76 @@ class Ledger:
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def state(self) -> dict:
-        """The manifest with the highest number; manifests are written whole, then renamed."""
+    def _names(self) -> list[str]:
         fs, Path = self._fs()
-        if not fs.exists(Path(self.folder)):
-            return {"run": 0, "low": None, "parts": []}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(Path(self.folder)))
-        done = [n for n in names if n.startswith("manifest-")]
+        return sorted(s.getPath().getName() for s in fs.listStatus(Path(self.folder))) if fs.exists(Path(self.folder)) else []
+
+    def state(self) -> dict:
+        """The manifest with the highest number; it is created whole under a number that was free."""
+        done = [n for n in self._names() if n.startswith("manifest-")]
         if not done:
             return {"run": 0, "low": None, "parts": []}
         text = self.spark.sparkContext._jsc.sc().textFile(f"{self.folder}/{done[-1]}", 1).first()
         return json.loads(text)
 
+    def _late(self, rows: DataFrame, low: str | None) -> DataFrame:
+        """Rows at or after the watermark, and those without a time."""
+        return rows if low is None else rows.where(F.col(self.at).isNull() | (F.col(self.at) >= F.lit(low).cast("timestamp_ntz")))
+
     def pending(self, source: DataFrame) -> DataFrame:
-        """The rows to process: reread from the low watermark, less the ledger."""
+        """The rows to process: reread from the low watermark, less the ledger; of several rows of a pair the first by all columns."""
         state = self.state()
-        rows = source
-        if state["low"] is not None:
-            rows = rows.where(F.col(self.at).isNull() | (F.col(self.at) >= F.lit(state["low"]).cast("timestamp_ntz")))
-        rows = rows.dropDuplicates([*self.key, self.version])
+        pairs = [*self.key, self.version]
+        order = Window.partitionBy(*pairs).orderBy(self.at, F.to_json(F.struct(*source.columns)))
+        rows = self._late(source, state["low"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
         if not state["parts"]:
             return rows
-        done = self.spark.read.parquet(*[f"{self.folder}/{p}" for p in state["parts"]])
-        pairs = [*self.key, self.version]
+        done = self._late(self.spark.read.parquet(*[f"{self.folder}/{p['name']}" for p in state["parts"]]), state["low"]).select(*pairs)
         done = done.withColumnsRenamed({c: f"_done_{c}" for c in pairs})
         same = F.lit(True)
         for c in pairs:
             same = same & F.col(c).eqNullSafe(F.col(f"_done_{c}"))
         return rows.join(done, same, "left_anti")
 
-    def run(self, source: DataFrame, process: Callable[[DataFrame], None], oldest_open: str | None) -> int:
-        """Process the pending rows, then commit.  ``oldest_open`` is the start (ISO text) of the
-        oldest transaction still open now; later runs reread from there.  Returns the run's number."""
+    def run(self, source: DataFrame, process: Callable[[DataFrame, int], None], oldest_open: str | None) -> int:
+        """Process the pending rows, then commit.  ``process`` gets them and the number of the run.  ``oldest_open`` is the
+        start (ISO text) of the oldest transaction still open now; later runs reread from there.  Returns the run's number."""
         state = self.state()
         n = state["run"] + 1
-        part = f"part-{n:09d}-{uuid.uuid4().hex[:8]}"
+        self._sweep(state)
         rows = self.pending(source)
         staged = f"{self.folder}/rows-{n:09d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(staged)  # what is processed is what is recorded, even if the source grows meanwhile
         fixed = self.spark.read.schema(rows.schema).parquet(staged)
-        process(fixed)
-        fixed.select(*self.key, self.version).write.parquet(f"{self.folder}/{part}")
+        process(fixed, n)
         low = max(x for x in (state["low"], oldest_open) if x is not None) if (state["low"] or oldest_open) else None
-        self._commit({"run": n, "low": low, "parts": [*state["parts"], part]})
+        parts = [p for p in state["parts"] if low is None or p["last"] is None or p["last"] >= low]
+        part = {"name": f"part-{n:09d}-{uuid.uuid4().hex[:8]}"}
+        pairs = fixed.select(*self.key, self.version, self.at)
+        if len(parts) >= self.MOST_PARTS:
+            pairs = pairs.unionByName(self._late(self.spark.read.parquet(*[f"{self.folder}/{p['name']}" for p in parts]), low))
+            parts = []
+        pairs.write.parquet(f"{self.folder}/{part['name']}")
+        last = self.spark.read.schema(pairs.schema).parquet(f"{self.folder}/{part['name']}").agg(F.max(self.at).cast("string").alias("last"), F.count_if(F.col(self.at).isNull()).alias("none")).first()
+        part["last"] = None if last["none"] else last["last"] or ""
+        self._commit({"run": n, "low": low, "parts": [*parts, part]})
         fs, Path = self._fs()
         fs.delete(Path(staged), True)
         return n
 
+    def _sweep(self, state: dict) -> None:
+        """Deletes what failed runs left, and parts that were dropped or merged."""
+        fs, Path = self._fs()
+        keep = {p["name"] for p in state["parts"]}
+        for name in self._names():
+            if name.startswith(("rows-", "part-")) and name not in keep:
+                fs.delete(Path(f"{self.folder}/{name}"), True)
+
     def _commit(self, state: dict) -> None:
         fs, Path = self._fs()
-        draft = Path(f"{self.folder}/_draft-{uuid.uuid4().hex}")
-        out = fs.create(draft)
+        try:
+            out = fs.create(Path(f"{self.folder}/manifest-{state['run']:09d}"), False)  # two writers: the second finds the name taken
+        except Exception as error:
+            raise RuntimeError(f"run {state['run']} was committed by another writer") from error
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        target = Path(f"{self.folder}/manifest-{state['run']:09d}")
-        if not fs.rename(draft, target):  # two writers: the second finds the name taken
-            fs.delete(draft, False)
-            raise RuntimeError(f"run {state['run']} was committed by another writer")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,47 +30,42 @@ def normalised(v: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, exclude_self: bool = False) -> DataFrame:
     """(qid, key, score, rank): the k rows of greatest dot product of every query (qid, vector), ties by key.
 
-    Queries are packed into blocks of bounded size, one row a block; every row
-    meets every block once (that is the work of exact search), as one matrix
-    product a batch, and only k rows a query leave a batch.  Vectors of another
+    Rows stay where they lie; blocks of QUERY_BLOCK queries are broadcast one after
+    another and meet every batch of rows as one matrix product (that is the work of
+    exact search), and only k rows a query leave a batch.  Vectors of another
     length than the query's are passed over; null vectors are left out.
     """
-    numbered = queries.where(F.col(vector).isNotNull()).select(
-        F.col("qid"), F.col(vector).alias("v"), F.size(vector).alias("dim")
-    )
-    n = numbered.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    packed = (
-        numbered.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        .groupBy("dim", "block")
-        .agg(F.collect_list(F.struct("qid", "v")).alias("qs"))
-    )
-    rows = vectors.where(F.col(vector).isNotNull()).select(
-        F.col(key).alias("key"), F.col(vector).alias("v"), F.size(vector).alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    )
-    spread = F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")  # a block's rows go to 16 tasks, so one block never makes one task
-    left = rows.select("dim", F.col("block").cast("long").alias("block"), spread.alias("salt"), F.lit(1).alias("kind"), "key", "v", F.lit(None).cast(packed.schema["qs"].dataType).alias("qs"))
-    right = packed.select(
-        "dim", "block", F.explode(F.array(*[F.lit(i) for i in range(16)])).alias("salt"), F.lit(0).alias("kind"),
-        F.lit(None).cast(left.schema["key"].dataType).alias("key"), F.lit(None).cast("array<float>").alias("v"), "qs",
-    )
+    spark = vectors.sparkSession
     kinds = {"qid": dict(queries.dtypes)["qid"], "key": dict(vectors.dtypes)[key]}
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("v"), F.lit(None).cast(kinds["qid"]).alias("qid"))
+    asked = queries.where(F.col(vector).isNotNull()).select("qid", F.col(vector).alias("v")).toLocalIterator()
+    found = None
+    while block := [r for _, r in zip(range(QUERY_BLOCK), asked)]:
+        by_dim: dict[int, tuple[list, list]] = {}
+        for r in block:
+            ids, values = by_dim.setdefault(len(r["v"]), ([], []))
+            ids.append(r["qid"])
+            values.append(r["v"])
+        shared = spark.sparkContext.broadcast({d: (ids, np.array(values, np.float64)) for d, (ids, values) in by_dim.items()})
+        part = rows.mapInArrow(_nearest_rows(shared, k, exclude_self), f"qid {kinds['qid']}, key {kinds['key']}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], f"qid {kinds['qid']}, key {kinds['key']}, score double")
+    return ranked(found, "key", "score", k).withColumnRenamed("key", key)
+
 
+def _nearest_rows(shared, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mat, at = None, None, None
         for batch in batches:
-            marks = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "salt", "kind"))))
-            cuts = [i for i in range(len(marks)) if i == 0 or marks[i] != marks[i - 1]]
-            for a, b in zip(cuts, [*cuts[1:], len(marks)]):
-                run_ = batch.slice(a, b - a)
-                if marks[a][3] == 0:
-                    qs = run_.column("qs")[0].as_py()
-                    at, ids, mat = marks[a][:3], [q["qid"] for q in qs], np.array([q["v"] for q in qs], np.float64)
+            kinds = [batch.schema.field("qid").type, batch.schema.field("key").type, pa.float64()]
+            lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for dim, (ids, mat) in shared.value.items():
+                at = np.flatnonzero(lengths == dim)
+                if not len(at):
                     continue
-                if at != marks[a][:3]:
-                    continue
-                x = run_.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b - a, -1)
-                names = np.array(run_.column("key").to_pylist(), dtype=object)
+                rows = batch.take(pa.array(at))
+                x = rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+                names = np.array(rows.column("key").to_pylist(), dtype=object)
                 order = np.argsort(names, kind="stable")
                 names, sims = names[order], np.round(mat @ x[order].T, 6)
                 out = [], [], []
@@ -79,16 +75,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int
                     out[0].extend([q] * len(best))
                     out[1].extend(names[best])
                     out[2].extend(sims[i][best].tolist())
-                kinds = [batch.schema.field("qs").type.value_type.field("qid").type, batch.schema.field("key").type, pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["qid", "key", "score"])
 
-    found = (
-        left.unionByName(right)
-        .repartition("dim", "block", "salt")
-        .sortWithinPartitions("dim", "block", "salt", "kind")
-        .mapInArrow(run, f"qid {kinds['qid']}, key {kinds['key']}, score double")
-    )
-    return ranked(found, "key", "score", k).withColumnRenamed("key", key)
+    return run
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

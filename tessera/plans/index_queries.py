@@ -377,14 +377,15 @@ def graph_get_definition(spark, folder):
 
 
 _GENERIC = ", ".join(f"'{x}'" for x in graph.GENERIC_NAMES)
-_EDGES = f"""{_DEFS}, sites AS (SELECT DISTINCT chunk_id, path, name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS package FROM (
+_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(path, '{rx}') THEN '{k}'" for k, rx in graph._ENDINGS.items()) + " ELSE 'other' END"
+_EDGES = f"""{_DEFS}, sites AS (SELECT DISTINCT chunk_id, path, name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS package, {_FAMILY} AS family FROM (
   SELECT chunk_id, file_path AS path, unnest(regexp_extract_all(code, '{symbols.CALL}', 1)) AS name FROM chunks WHERE code IS NOT NULL AND language <> 'text')),
-d AS (SELECT symbol, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS package, arg_min(chunk_id, (byte_start, chunk_id)) AS chunk_id FROM symbols GROUP BY 1, 2, 3),
-pk AS (SELECT symbol, package, arg_min(chunk_id, (path, chunk_id)) AS pkg_dst FROM d GROUP BY 1, 2),
-un AS (SELECT symbol, min(chunk_id) AS only_dst FROM d GROUP BY 1 HAVING count(*) = 1),
+d AS (SELECT symbol, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS package, {_FAMILY} AS family, arg_min(chunk_id, (byte_start, chunk_id)) AS chunk_id FROM symbols GROUP BY 1, 2, 3, 4),
+pk AS (SELECT symbol, family, package, arg_min(chunk_id, (path, chunk_id)) AS pkg_dst FROM d GROUP BY 1, 2, 3),
+un AS (SELECT symbol, family, min(chunk_id) AS only_dst FROM d GROUP BY 1, 2 HAVING count(*) = 1),
 edges AS (SELECT DISTINCT src, dst, 'CALLS' AS kind FROM (
   SELECT s.chunk_id AS src, coalesce(d.chunk_id, CASE WHEN s.name NOT IN ({_GENERIC}) THEN coalesce(pkg_dst, only_dst) END) AS dst
-  FROM sites s LEFT JOIN d ON d.symbol = s.name AND d.path = s.path LEFT JOIN pk ON pk.symbol = s.name AND pk.package = s.package LEFT JOIN un ON un.symbol = s.name)
+  FROM sites s LEFT JOIN d ON d.symbol = s.name AND d.path = s.path LEFT JOIN pk ON pk.symbol = s.name AND pk.family = s.family AND pk.package = s.package LEFT JOIN un ON un.symbol = s.name AND un.family = s.family)
   WHERE dst IS NOT NULL AND src <> dst)"""
 
 

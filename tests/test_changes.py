@@ -158,12 +158,18 @@ def test_ledger_survives_failures(spark, tmp_path):
     ledger = incremental.Ledger(spark, "file://" + str(tmp_path / "ledger"), ["k"], "v", "at")
     schema = "k string, v int, at timestamp_ntz"
     seen = []
-    take = lambda df: seen.extend((r.k, r.v) for r in df.collect())
+    numbers = []
+
+    def take(df, n):
+        numbers.append(n)
+        seen.extend((r.k, r.v) for r in df.collect())
+
     data = [("a", 1, T0), ("b", 1, T0), ("b", 1, T0)]
     assert ledger.run(spark.createDataFrame(data, schema), take, "2025-01-01 00:00:00") == 1
     data += [("c", 1, T0 + timedelta(hours=2)), ("a", 2, T0 + timedelta(hours=1)), (None, None, None)]
 
-    def crash(df):
+    def crash(df, n):
+        numbers.append(n)
         df.count()
         raise RuntimeError("lost")
 
@@ -175,3 +181,14 @@ def test_ledger_survives_failures(spark, tmp_path):
     ledger.run(spark.createDataFrame(data, schema), take, "2025-01-01 05:00:00")
     ledger.run(spark.createDataFrame(data, schema), take, "2025-01-01 05:00:00")
     assert sorted(seen, key=repr) == sorted([("a", 1), ("b", 1), ("c", 1), ("a", 2), (None, None), ("late", 1)], key=repr)
+    assert numbers[:3] == [1, 2, 2]  # a run that failed is repeated under its number
+    names = [p.name for p in (tmp_path / "ledger").iterdir()]
+    assert not [n for n in names if n.startswith("rows-")]
+    # what lies before the watermark is not read again; many parts become one
+    ledger.MOST_PARTS = 2
+    for i in range(5):
+        data.append((f"n{i}", 1, T0 + timedelta(hours=6 + i)))
+        ledger.run(spark.createDataFrame(data, schema), take, f"2025-01-01 {5 + i:02d}:30:00")
+    assert len(seen) == len(set(seen)) == 11 and len(ledger.state()["parts"]) <= 3
+    with pytest.raises(RuntimeError, match="another writer"):
+        ledger._commit(ledger.state())
