@@ -1,27 +1,37 @@
 """A data source over git repositories: ``spark.read.format("gitrepo")``.
 
-Options: ``path`` of the repository, ``mode`` (tree, blobs or log), ``rev``
-(default HEAD), ``slices``.  ``tree`` lists regular files of a revision (no links,
-no submodules), ``blobs`` their content too, ``log`` commits with the files they
+Options: ``path`` of the repository, ``mode`` (tree, blobs, sources or log), ``rev``
+(default HEAD), ``since`` (of log: a revision or an ISO date), ``slices``.  ``tree`` lists regular files of a revision (no links,
+no submodules), ``blobs`` their content too, ``sources`` that of source files only, ``log`` commits with the files they
 touch.  Listing is one git call at planning; contents are read by the tasks, a
-slice of object names each, through one ``cat-file --batch``.  As a stream,
-``log`` delivers commits after the last one seen, by their count.
+slice of object names each, through one ``cat-file --batch``, a bounded number of
+objects at a time.  As a stream, ``log`` delivers the commits between two
+revisions; offsets are commit names, so a history that was rewritten delivers
+what the old name does not reach.
 """
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tessera.operators.ingest import LANGUAGES
+
 SCHEMAS = {
     "tree": "path string, blob_hash string, size_bytes long",
     "blobs": "path string, blob_hash string, content binary",
+    "sources": "path string, blob_hash string, content binary",
     "log": "ordinal int, sha string, committed_at string, author string, message string, files array<struct<status:string,path:string>>",
 }
 
 
+#: Objects read by one call, so that their contents are held at once.
+OBJECTS = 64
+
+
 class NotARepository(ValueError):
     pass
 
@@ -41,6 +51,14 @@ def open_repository(path: str) -> str:
         raise NotARepository(f"{path}: no git repository") from error
 
 
+def head(path: str, rev: str = "HEAD") -> str | None:
+    """The name of the commit of a revision, None if there is none yet."""
+    try:
+        return git(path, "rev-parse", "--verify", "-q", f"{rev}^{{commit}}").decode().strip()
+    except ValueError:
+        return None
+
+
 def tree(path: str, rev: str = "HEAD") -> list[tuple[str, str, int]]:
     """(path, blob, size) of the regular files of a revision; none if nothing was committed yet."""
     if rev == "HEAD":
@@ -73,10 +91,21 @@ def contents(path: str, blobs: list[str]) -> Iterator[tuple[str, bytes]]:
         at += size + 1
 
 
-def log(path: str, rev: str = "HEAD") -> list[tuple]:
-    """Commits from the oldest, numbered from 0, with status and path of what they touch (renames as two)."""
+def log(path: str, rev: str = "HEAD", since: str | None = None) -> list[tuple]:
+    """Commits from the oldest, numbered from 0, with status and path of what they touch (renames as two).
+
+    ``since`` is a revision, whose commits are left out, or an ISO date (a bare
+    one is midnight UTC); one that is neither raises ValueError.
+    """
+    limit: list[str] = []
+    if since is not None:
+        if re.fullmatch(r"\d{4}-\d\d-\d\d([T ].*)?", since):
+            limit = [f"--since={since}T00:00:00Z" if len(since) == 10 else f"--since={since}"]
+        else:
+            git(path, "rev-parse", "--verify", "-q", f"{since}^{{commit}}")
+            rev = f"{since}..{rev}"
     try:
-        text = git(path, "log", "--reverse", "--no-renames", "--name-status", "--date=iso-strict", "--format=%x01%H%x02%cI%x02%an%x02%s", rev).decode("utf-8", "replace")
+        text = git(path, "log", *limit, "--reverse", "--no-renames", "--name-status", "--date=iso-strict", "--format=%x01%H%x02%cI%x02%an%x02%s", rev).decode("utf-8", "replace")
     except ValueError:
         return []
     out = []
@@ -96,24 +125,28 @@ class Slice(InputPartition):
 class GitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.repo, self.mode, self.rev = open_repository(options["path"]), options.get("mode", "tree"), options.get("rev", "HEAD")
-        self.slices = int(options.get("slices", 8))
+        self.slices, self.since = int(options.get("slices", 8)), options.get("since")
 
     def partitions(self) -> list[Slice]:
-        rows = log(self.repo, self.rev) if self.mode == "log" else tree(self.repo, self.rev)
+        rows = log(self.repo, self.rev, self.since) if self.mode == "log" else tree(self.repo, self.rev)
+        if self.mode == "sources":
+            rows = [r for r in rows if "." + r[0].rsplit(".", 1)[-1].lower() in LANGUAGES and "." in r[0].rsplit("/", 1)[-1]]
         n = max(1, min(self.slices, len(rows)))
         return [Slice(rows[i::n]) for i in range(n)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         rows = partition.value
-        if self.mode != "blobs":
+        if self.mode not in ("blobs", "sources"):
             yield from rows
             return
         by: dict[str, list[str]] = {}
         for path, blob, _ in rows:
             by.setdefault(blob, []).append(path)
-        for blob, data in contents(self.repo, list(by)):
-            for path in by[blob]:
-                yield path, blob, data
+        names = list(by)
+        for at in range(0, len(names), OBJECTS):
+            for blob, data in contents(self.repo, names[at : at + OBJECTS]):
+                for path in by[blob]:
+                    yield path, blob, data
 
 
 class GitLogStream(DataSourceStreamReader):
@@ -121,16 +154,17 @@ class GitLogStream(DataSourceStreamReader):
         self.repo, self.rev = open_repository(options["path"]), options.get("rev", "HEAD")
 
     def initialOffset(self) -> dict:
-        return {"commits": 0}
+        return {"commit": ""}
 
     def latestOffset(self) -> dict:
-        try:
-            return {"commits": int(git(self.repo, "rev-list", "--count", self.rev))}
-        except ValueError:
-            return {"commits": 0}
+        return {"commit": head(self.repo, self.rev) or ""}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
-        return [Slice(log(self.repo, self.rev)[start["commits"] : end["commits"]])]
+        if not end["commit"]:
+            return [Slice([])]
+        rows = log(self.repo, end["commit"], start["commit"] or None)
+        n = max(1, min(8, len(rows)))
+        return [Slice(rows[i::n]) for i in range(n)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         yield from partition.value

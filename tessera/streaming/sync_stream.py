@@ -1,7 +1,7 @@
 """Incremental sync as a stream: each micro-batch of files brings an index up to date.
 
-The index is a folder of snapshots ``v=N`` (blobs with their state).  A batch
-writes snapshot N+1 beside the old one; the newest complete one (with its
+The index is a folder of snapshots ``v=N`` (blobs with their state).  A tree
+writes a new snapshot beside the old one; the newest complete one (with its
 success mark) is the state, so a crash leaves the old state and a repeated batch
 writes the same rows again.
 """
@@ -21,7 +21,8 @@ class IndexFolder:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def newest(self) -> int:
+    def newest(self, upto: int | None = None) -> int:
+        """The number of the newest complete snapshot, at most ``upto``; -1 without any."""
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -32,10 +33,10 @@ class IndexFolder:
             for s in fs.listStatus(root)
             if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
         ]
-        return max(done, default=-1)
+        return max((v for v in done if upto is None or v <= upto), default=-1)
 
     def state(self, version: int | None = None) -> DataFrame:
-        v = self.newest() if version is None else version
+        v = self.newest(version)
         return self.spark.createDataFrame([], STATE) if v < 0 else self.spark.read.schema(STATE).parquet(f"{self.folder}/v={v}")
 
     def sync(self, files: DataFrame, version: int) -> None:
@@ -53,9 +54,23 @@ class IndexFolder:
 
 
 def sync_stream(trees: DataFrame, index: IndexFolder, checkpoint: str) -> StreamingQuery:
-    """A stream of whole trees (one micro-batch each) into the index; idempotent by batch id."""
+    """A stream of trees into the index.  Every row names its tree and says how many files the tree has: (tree_id, n_files,
+    path, blob_hash, size_bytes).
+
+    A source may cut a tree into several micro-batches: its rows are kept beside the
+    index until as many as the tree has are there, and only then it is taken in.
+    Trees that are complete are taken in by their id; ids must rise.  A repeated
+    batch writes the same rows again, and a tree already taken in is passed over,
+    even if the stream's checkpoint is lost.
+    """
+    parts = f"{index.folder}/waiting"
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        index.sync(df, batch_id)
+        df.write.mode("overwrite").parquet(f"{parts}/batch={batch_id}")
+        waiting = df.sparkSession.read.parquet(parts).drop("batch").dropDuplicates(["tree_id", "path"])
+        done = index.newest()
+        whole = waiting.where(F.col("tree_id") > done).groupBy("tree_id").agg(F.count("*").alias("n"), F.max("n_files").alias("n_files")).where("n >= n_files")
+        for row in whole.select("tree_id").orderBy("tree_id").collect():  # one row a tree
+            index.sync(waiting.where(F.col("tree_id") == row["tree_id"]), row["tree_id"])
 
     return trees.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -333,6 +333,21 @@ def test_git_source(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("gitlog").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("gitlog").count() == 2
+    first = log[0].sha
+    assert [r.message for r in read(mode="log", since=first).collect()] == ["two"]
+    assert read(mode="log", since="1990-01-01").count() == 2 and read(mode="log", since="2090-01-01").count() == 0
+    with pytest.raises(Exception, match="rev-parse|failed"):
+        read(mode="log", since="no-such-ref").count()
+    assert [r.path for r in read(mode="sources").collect()] == ["c.py"]
+    from tessera.sources.git import GitLogStream, head
+
+    reader = GitLogStream({"path": str(repo)})
+    end = reader.latestOffset()
+    assert end == {"commit": head(str(repo))} and reader.initialOffset() == {"commit": ""}
+    rows_of = lambda a, b: sorted(x[4] for part in reader.partitions(a, b) for x in reader.read(part))
+    assert rows_of({"commit": ""}, end) == ["one", "two"] and rows_of({"commit": first}, end) == ["two"] and rows_of(end, end) == []
+    run("commit", "-q", "--amend", "-m", "two again")  # history is rewritten: what the old name does not reach comes
+    assert rows_of(end, reader.latestOffset()) == ["two again"]
 
 
 def test_gold_and_query_files(spark, tmp_path):
@@ -381,6 +396,26 @@ def test_incremental_sync_equals_rebuild(spark, tmp_path):
     assert got == {h: h in tree.values() for h in ever}
 
 
+def test_a_tree_in_two_batches_is_taken_in_whole(spark, tmp_path):
+    from tessera.streaming.sync_stream import IndexFolder, sync_stream
+
+    schema = "tree_id int, n_files int, path string, blob_hash string, size_bytes long"
+    source, index = tmp_path / "trees", IndexFolder(spark, "file://" + str(tmp_path / "index"))
+
+    def deliver(name, data, checkpoint="cp"):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        sync_stream(stream, index, str(tmp_path / checkpoint)).awaitTermination()
+        return {r.blob_hash: r.active for r in index.state().collect()}
+
+    assert deliver("a", [(1, 3, "a.py", "h1", 1), (1, 3, "b.py", "h2", 1)]) == {}
+    assert deliver("b", [(1, 3, "c.py", "h3", 1)]) == {"h1": True, "h2": True, "h3": True}
+    assert deliver("c", [(4, 2, "a.py", "h1", 1)]) == {"h1": True, "h2": True, "h3": True}
+    want = {"h1": True, "h2": False, "h3": False, "h4": True}
+    assert deliver("d", [(4, 2, "d.py", "h4", 1)]) == want
+    assert deliver("e", [(2, 1, "z.py", "old", 1)], "lost") == want  # without its checkpoint the stream begins anew
+
+
 def line_words(line):
     import re
 
