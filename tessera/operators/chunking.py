@@ -225,7 +225,7 @@ def _tainted(data: bytes, extents: list[tuple[int, int]]) -> set[tuple[int, int]
     return None if not clean or sum(b - a for a, b in bad) > MOST_TAINTED * len(data) else bad
 
 
-def pieces(data: bytes, language: str, most: int = MOST_INKED) -> list[tuple[int, int, bool]]:
+def pieces(data: bytes, language: str, most: int = MOST_INKED, scopes: list | None = None) -> list[tuple[int, int, bool]]:
     """(start, end, tainted): pieces that partition the bytes, each of at most ``most`` inked bytes.
 
     An extent that is too large is split at the definitions in it, level by
@@ -244,7 +244,7 @@ def pieces(data: bytes, language: str, most: int = MOST_INKED) -> list[tuple[int
         bad = _tainted(data, extents)
         if bad is None:
             return [(a, b, True) for a, b in _windows(data, 0, len(data), most)]
-    scopes = _scopes(data, language)
+    scopes = _scopes(data, language) if scopes is None else scopes
     starts: dict[int, list[int]] = {}
     for a, _, _, depth in scopes:
         starts.setdefault(depth, []).append(a)
@@ -277,12 +277,13 @@ def structural_pieces(data: bytes, language: str, most: int = MOST_INKED) -> lis
     return [(a, b) for a, b, _ in pieces(data, language, most)]
 
 
-def breadcrumbs(data: bytes, language: str, path: str, cut: list[tuple[int, int, bool]]) -> list[str]:
+def breadcrumbs(data: bytes, language: str, path: str, cut: list[tuple[int, int, bool]], scopes: list | None = None) -> list[str]:
     """One line for each piece: comment marker, path, the definitions around its first inked byte, and its first line.
 
     Python definitions with a docstring show its first line; a tainted piece says so.
     """
-    marker, scopes, out = MARKERS.get(language, "#"), _scopes(data, language), []
+    marker, out = MARKERS.get(language, "#"), []
+    scopes = _scopes(data, language) if scopes is None else scopes
     for a, b, bad in cut:
         body = data[a:b].lstrip()
         at = b - len(body)
@@ -311,8 +312,9 @@ def structural_chunks(
             rows = []
             for k, t, lang, at, where in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "language", "start", "path"))):
                 data, lang = t.encode(), lang or "text"
-                cut = pieces(data, lang, most)
-                rows += [(k, at + a, at + b, data[a:b].decode(), crumb, bad) for (a, b, bad), crumb in zip(cut, breadcrumbs(data, lang, where or "", cut))]
+                scopes = _scopes(data, lang)
+                cut = pieces(data, lang, most, scopes)
+                rows += [(k, at + a, at + b, data[a:b].decode(), crumb, bad) for (a, b, bad), crumb in zip(cut, breadcrumbs(data, lang, where or "", cut, scopes))]
             cols = list(zip(*rows)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 

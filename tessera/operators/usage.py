@@ -38,17 +38,25 @@ def p95_support(n: Column) -> Column:
     return F.least(n - 1, F.floor((n - 1) * 0.95 + 0.999))
 
 
-def percentile_at(df: DataFrame, by: list[str], value: str, pick) -> DataFrame:
-    """(by, value): the exact order statistic that ``pick`` chooses from the count.
+def percentile_at(df: DataFrame, by: list[str], value: str, pick, buckets: int = 1024) -> DataFrame:
+    """(by, value): the exact order statistic that ``pick`` chooses from the count; nulls do not count.
 
-    Values are counted first, then a running sum over distinct values finds the
-    place; no group is ever collected into one array.
+    The range of a group is cut into equal buckets whose counts tell in which the
+    place lies; only its values are then counted and summed in order, so a hot
+    group is neither collected nor sorted in one task.
     """
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    summed = counts.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    rows = df.where(F.col(value).isNotNull()).select(*by, value)
+    ends = rows.groupBy(*by).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.count("*").alias("_n"))
+    share = (F.col(value) - F.col("_a")) / (F.col("_b") - F.col("_a"))
+    placed = rows.join(ends, by).withColumn("_k", F.when(F.col("_b") > F.col("_a"), F.least(F.lit(buckets - 1), F.floor(share * buckets))).otherwise(0).cast("int"))
+    order = Window.partitionBy(*by).orderBy("_k")
+    sums = placed.groupBy(*by, "_k", "_n").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
+    there = sums.where(F.col("_upto") > pick(F.col("_n"))).groupBy(*by).agg(F.min(F.struct("_k", "_upto", "_c")).alias("_t"))
+    there = there.select(*by, F.col("_t._k").alias("_k"), (F.col("_t._upto") - F.col("_t._c")).alias("_before"))
+    counts = placed.join(there, [*by, "_k"]).groupBy(*by, value, "_n", "_before").agg(F.count("*").alias("_c"))
+    summed = counts.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by).orderBy(value)))
     return summed.where(F.col("_upto") > pick(F.col("_n"))).groupBy(*by).agg(F.min(value).alias(value))
 
 
