@@ -9,6 +9,7 @@ text whose comments and strings are blanked, with spans by matching brackets.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import warnings
 from bisect import bisect_right
@@ -23,10 +24,10 @@ from tessera.operators.chunking import joined, placed_chunks
 #: Languages whose definitions may answer each other's calls.
 FAMILIES = {"python": "python", "typescript": "ecma", "tsx": "ecma", "javascript": "ecma", "go": "go", "proto": "proto"}
 #: Changes when facts of unchanged blobs would come out otherwise; facts of another version are read anew.
-VERSION = 1
+VERSION = 2
 SIGNATURE = 200
 
-DEFS = "array<struct<symbol:string,kind:string,byte_start:int,byte_end:int,signature:string,parent:string>>"
+DEFS = "array<struct<symbol:string,kind:string,byte_start:int,byte_end:int,signature:string,parent:string,digest:string>>"
 SITES = "array<struct<name:string,at:int,within:int,receiver:string,type:string>>"
 IMPORTS = "array<struct<module:string,name:string,alias:string>>"
 SCHEMA = f"blob_hash string, language string, version int, size int, defs {DEFS}, imports {IMPORTS}, calls {SITES}, refs {SITES}"
@@ -45,7 +46,7 @@ class Found:
 
     def define(self, name: str, kind: str, a: int, b: int, parent: str | None = None) -> None:
         line = self.data[a : self.data.find(b"\n", a) if b"\n" in self.data[a:b] else b].decode("utf-8", "replace")
-        self.defs.append((name, kind, a, b, line.strip()[:SIGNATURE], parent))
+        self.defs.append((name, kind, a, b, line.strip()[:SIGNATURE], parent, hashlib.sha1(self.data[a:b]).hexdigest()))
 
     def facts(self) -> tuple:
         """(defs, imports, calls, refs): ordered; of definitions of one span the first stands; sites by their innermost definition."""
@@ -285,7 +286,7 @@ def file_facts(chunks: DataFrame) -> DataFrame:
     """
     schema = pa.schema(
         [("blob_hash", pa.string()), ("language", pa.string()), ("version", pa.int32()), ("size", pa.int32())]
-        + [("defs", pa.list_(pa.struct([("symbol", pa.string()), ("kind", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("signature", pa.string()), ("parent", pa.string())])))]
+        + [("defs", pa.list_(pa.struct([("symbol", pa.string()), ("kind", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("signature", pa.string()), ("parent", pa.string()), ("digest", pa.string())])))]
         + [("imports", pa.list_(pa.struct([("module", pa.string()), ("name", pa.string()), ("alias", pa.string())])))]
         + [(n, pa.list_(pa.struct([("name", pa.string()), ("at", pa.int32()), ("within", pa.int32()), ("receiver", pa.string()), ("type", pa.string())]))) for n in ("calls", "refs")]
     )

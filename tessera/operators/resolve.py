@@ -33,7 +33,7 @@ def symbols(facts: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` are (repo, path, blob_hash): a blob on several paths has its symbols on each.
     """
     placed = facts.join(files.select("repo", "path", "blob_hash").distinct(), "blob_hash")
-    module = F.array(F.struct(F.regexp_extract("path", r"([^/]*)$", 1).alias("symbol"), F.lit("module").alias("kind"), F.lit(-1).alias("byte_start"), F.col("size").alias("byte_end"), F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("parent")))
+    module = F.array(F.struct(F.regexp_extract("path", r"([^/]*)$", 1).alias("symbol"), F.lit("module").alias("kind"), F.lit(-1).alias("byte_start"), F.col("size").alias("byte_end"), *[F.lit(None).cast("string").alias(c) for c in ("signature", "parent", "digest")]))
     rows = placed.select("repo", "path", "blob_hash", _family(F.col("language")).alias("family"), F.explode(F.concat(module, "defs")).alias("d"))
     return rows.select(
         _node("repo", "path", "d.byte_start").alias("node_id"), "d.symbol", "d.kind", "repo", "path", package_of(F.col("path")).alias("package"), "family", "blob_hash",

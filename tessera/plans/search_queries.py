@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import facts, graph, ingest, lexical, resolve, search, store, symbols, usage
+from tessera.operators import facts, graph, ingest, lexical, recent, resolve, search, store, symbols, usage
 from tessera.plans.index_queries import _bm25_sql, _chunks, _usage
 from tessera.session import cut_lineage
 from tessera.sources.tables import table
@@ -247,3 +247,19 @@ def usage_throughput(spark, folder):
 @query("SELECT substr(sha, 1, 12) AS sha, count(*) AS n FROM (SELECT DISTINCT * FROM commit_log) GROUP BY 1")
 def history_short_commits(spark, folder):
     return table(spark, folder, "commit_log").distinct().groupBy(F.substring("sha", 1, 12).alias("sha")).agg(F.count("*").alias("n"))
+
+
+@query()
+def history_symbol_diffs(spark, folder):
+    """Symbols that each snapshot added, removed or modified, by the facts of its blobs."""
+    found, _ = _facts(spark, folder)
+    files = table(spark, folder, "files", "repo", "ref", "path", "blob_hash", "loaded_at")
+    return recent.symbol_diffs(files, table(spark, folder, "commit_log", "repo", "branch", "ordinal", "sha"), found)
+
+
+@query(
+    """SELECT repo, branch, substr(sha, 1, 12) AS sha, committed_at, author, message, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo, branch ORDER BY committed_at DESC, ordinal DESC) AS rank FROM (SELECT DISTINCT * FROM commit_log) WHERE committed_at >= TIMESTAMP '2025-10-01') WHERE rank <= 5"""
+)
+def history_commits_since(spark, folder):
+    return recent.recent_commits(table(spark, folder, "commit_log"), "2025-10-01", 5)

@@ -80,3 +80,28 @@ def test_only_new_blobs_are_read(spark):
     assert rows(facts.sync_facts(chunks, known).select("blob_hash", "size")) == rows(every.select("blob_hash", "size"))
     assert facts.new_facts(chunks, known.withColumn("version", known.version - 1)).count() == every.count()
     assert facts.file_facts(chunks.limit(0)).count() == 0 and resolve.edges(every.limit(0), files).count() == 0
+
+
+def test_symbols_that_a_commit_changed(spark):
+    from datetime import datetime
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tessera.operators import recent
+
+    code = {"h1": "def a():\n    return 1\n\n\ndef b():\n    pass\n", "h2": "def a():\n    return 2\n\n\ndef c():\n    pass\n", "h3": "class K:\n    pass\n"}
+    chunks = spark.createDataFrame([(h, 0, "python", c, h, "r") for h, c in code.items()], CHUNKS)
+    t = datetime(2025, 1, 1)
+    files = spark.createDataFrame([("r", "s1", "m.py", "h1", t), ("r", "s2", "m.py", "H2", t), ("r", "s2", "k.py", "h3", t), ("r", "s3", "m.py", "h2", t)], "repo string, ref string, path string, blob_hash string, loaded_at timestamp_ntz")
+    log = spark.createDataFrame([("r", "main", i, f"s{i}", datetime(2025, 1, i), "me", None) for i in (1, 2, 3)], "repo string, branch string, ordinal int, sha string, committed_at timestamp_ntz, author string, message string")
+    found = recent.symbol_diffs(files, log.select("repo", "branch", "ordinal", "sha"), facts.file_facts(chunks))
+    assert {(r.ref, r.path, r.symbol, r.change) for r in found.collect()} == {
+        ("s2", "k.py", "K", "added"), ("s2", "m.py", "a", "modified"), ("s2", "m.py", "b", "removed"), ("s2", "m.py", "c", "added"), ("s3", "k.py", "K", "removed"),
+    }
+    few = recent.symbol_diffs(files, log.select("repo", "branch", "ordinal", "sha"), facts.file_facts(chunks), most=2)
+    assert few.groupBy("ref").count().agg(F.max("count")).first()[0] == 2
+    assert [r.sha for r in recent.recent_commits(log, "2025-01-02").orderBy("rank").collect()] == ["s3", "s2"]
+    assert [r.sha for r in recent.recent_commits(log, "s1", 1).collect()] == ["s3"]
+    with pytest.raises(ValueError, match="no such commit"):
+        recent.recent_commits(log, "zz")
